@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from .shards import op8_lpt_sharding
 from .simhash import op10_simhash_near_dedup
+from .warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable] = {
+    "op1_warc_chunks": op1_warc_chunks,
     "op8_lpt_sharding": op8_lpt_sharding,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_chunks": OP1_SQL,
+}
