@@ -106,9 +106,10 @@ class CoveringCode:
 
 
 def golay_columns(n: int) -> list[int]:
-    """Parity checks of the perfect binary (23, 12) Golay code, cut to n columns: x^i modulo its generator polynomial."""
+    """Parity checks of the perfect binary (23, 12) Golay code: x^i modulo its generator polynomial. Parts of fewer than
+    23 bits are words of it that end in zeros; a code cut to their length would no longer be perfect."""
     generator, column, out = 0b101011100011, 1, []
-    for _ in range(n):
+    for _ in range(23):
         out.append(column)
         column <<= 1
         if column >> 11:
