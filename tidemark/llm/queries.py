@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .pieces import op7_sentencepiece
 from .shards import op8_lpt_sharding
 from .simhash import op10_simhash_near_dedup
+from .tokenfiles import op9_token_files
 from .warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_lpt_sharding": op8_lpt_sharding,
+    "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
