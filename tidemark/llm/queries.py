@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .decontaminate import op2_decontaminate
 from .pieces import op7_sentencepiece
+from .pii import op3_pii_sanitise
 from .shards import op8_lpt_sharding
 from .simhash import op10_simhash_near_dedup
 from .tokenfiles import op9_token_files
@@ -12,6 +14,8 @@ from .warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_pii_sanitise": op3_pii_sanitise,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_lpt_sharding": op8_lpt_sharding,
     "op9_token_files": op9_token_files,
