@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +29,9 @@ RADIUS, BLOCKS = 20, 4
 BITMAP_BITS, MOST_ITEMS = 1 << 24, 100_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: bytes) -> list[bytes]:
+    """Of a text's UTF-8: A-Z lower-cased, split at ASCII white space."""
+    return text.lower().split()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +81,7 @@ class Items:
         prints: dict[int, list[np.ndarray]] = {}
         self.bitmap: dict[int, np.ndarray] = {}
         for item, text in items:
-            words = words_of(text)
+            words = words_of(text.encode())
             if not words:
                 continue
             k = min(SHINGLE, len(words))
@@ -108,7 +108,7 @@ class Items:
         near = np.bitwise_count(windows[w] ^ prints[i]) <= RADIUS
         return w[near], i[near]
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
+    def search(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): for each item its most similar window of a text, the first of those."""
         words = words_of(text)
         if not words or not self.by_length:
@@ -155,7 +155,8 @@ def contaminated(
     of at most `most_items`, one pass over docs for each set. Other columns are ignored; empty tables give an empty one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("length(trim(text)) > 0").distinct()
     sets = -(-items.count() // (most_items // 2)) or 1  # dealt by hash: half full on average, so that none overflows
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     kinds, out = "id long, item_id long, first_word long, n_words long, similarity double", None
     for part in range(sets):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part) if sets > 1 else items
@@ -163,14 +164,15 @@ def contaminated(
         if len(shared.value) > most_items:
             raise ValueError(f"more than {most_items} items in one set")
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Items(shared.value)
             for batch in batches:
-                found = [(i, *x) for i, t in zip(batch["id"], batch["text"], strict=True) for x in index.search(t)]
-                frame = pd.DataFrame(found, columns=["id", "item_id", "first_word", "n_words", "similarity"])
-                yield frame.astype({"first_word": "int64", "n_words": "int64", "similarity": "float64"})
+                found = [(i, *x) for i, t in enumerate(batch.column(1)) for x in index.search(t.as_buffer().to_pybytes() if t.is_valid else b"")]
+                row, *rest = zip(*found, strict=True) if found else ((),) * 5
+                columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, k) for x, k in zip(rest, kinds_of, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "item_id", "first_word", "n_words", "similarity"])
 
-        hits = rows.mapInPandas(run, kinds)
+        hits = rows.mapInArrow(run, kinds)
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -216,25 +216,20 @@ def encode_and_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_
     Repeated rows and null ids come back as they are, other columns are ignored, an empty table gives an empty one."""
     kinds = "id long, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string" + ", ids array<int>" * ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
         digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-        for rows in batches:
-            for i in range(0, len(rows), 200):  # bounds what is held of the decoded texts
-                part = rows.iloc[i : i + 200]
-                found = list(table.rows([t or "" for t in part["text"]]))
-                out = {
-                    "id": part["id"].to_numpy(),
-                    "n_tokens": [n for n, _, _ in found],
-                    "ids_sha256": [digest(x) for _, x, _ in found],
-                    "decoded": [t for _, _, t in found],
-                    "decoded_sha256": [digest(t) for _, _, t in found],
-                }
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):  # bounds what is held of the decoded texts
+                rows = batch.slice(i, 200)
+                n, joined, texts = zip(*table.rows([t or "" for t in rows.column(1).to_pylist()]), strict=True)
+                columns = [rows.column(0), pa.array(n, pa.int64()), pa.array(map(digest, joined)), pa.array(texts), pa.array(map(digest, texts))]
                 if ids:
-                    out["ids"] = [[int(j) for j in x.split(" ")] for _, x, _ in found]
-                yield pd.DataFrame(out)
+                    columns.append(pa.array([[int(j) for j in x.split(" ")] for x in joined], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, kinds)
+    names = ["id", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"] + ["ids"] * ids
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, kinds)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

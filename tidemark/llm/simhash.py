@@ -16,6 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +54,13 @@ def fingerprint_of(data: bytes, words_each: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
     """(id, fp) for every row; fp is the 64 bits as a long. A null text counts as an empty one, whose fingerprint is 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = [fingerprint_of(t.encode("utf-8", "surrogatepass") if t else b"", words_each) for t in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "fp": np.array(fps, np.int64)})
+            fps = [fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", words_each) for t in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fp long")
 
 
 # ---- covering codes

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,23 +60,26 @@ def carry_digests(chunks: DataFrame, only_last: bool = False) -> DataFrame:
     names = out.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, n, segment = hashlib.sha256(), 0, 0
-        for rows in batches:
+        for batch in batches:
             sums, sizes, segments = [], [], []
-            for data, first, last in zip(rows["data"], rows["first"], rows["last"], strict=True):
-                data = data.encode("utf-8", "surrogatepass") if isinstance(data, str) else bytes(data)
+            flags = (batch.column(c).to_pylist() for c in ("first", "last"))
+            for data, first, last in zip(batch.column("data"), *flags, strict=True):
                 if first:
                     digest, n, segment = hashlib.sha256(), 0, 0
+                data = data.as_buffer()
                 digest.update(data)
-                n, segment = n + len(data), segment + 1
+                n, segment = n + data.size, segment + 1
                 sums.append(digest.hexdigest() if last or not only_last else "")
                 sizes.append(n)
                 segments.append(segment)
-            rows = rows[names].assign(segment=segments, payload_bytes=sizes, payload_digest=sums)
-            yield rows[rows["last"]] if only_last else rows
+            batch = batch.select(names)
+            columns = [*batch.columns, pa.array(segments, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())]
+            batch = pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "segment", "payload_bytes", "payload_digest"])
+            yield batch.filter(batch.column("last")) if only_last else batch
 
-    return chunks.mapInPandas(run, f"{kinds}, segment int, payload_bytes long, payload_digest string")
+    return chunks.mapInArrow(run, f"{kinds}, segment int, payload_bytes long, payload_digest string")
 
 
 def record_types(records: DataFrame, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
