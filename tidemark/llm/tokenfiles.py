@@ -7,14 +7,16 @@ of a few documents, without reading the rest. Spark writes and reads the files w
 
 from __future__ import annotations
 
+import json
 import os
-import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,37 +25,63 @@ from .common import new_path
 #: Bytes of a row group and of a page; rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
 #: Words whose ids a worker remembers, and the longest of them.
-WORDS, LONGEST = 1 << 18, 48
-#: These are white space to the tokenizer wherever they stand, so no token reaches across one.
-BLANKS = re.compile(r"[ \n\t\r]+")
+WORDS, LONGEST = 1 << 19, 48
+#: How the tokenizer cuts a word of Latin-1 letters, whose normal form is its lower case.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class WordEncoder:
-    """Encodes texts word by word and remembers the words: a tokenizer that drops white space has no token across it."""
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte that prints as itself, the others as the letters from U+0100 on, in order."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
+
+
+class WordEncoder(dict):
+    """Word -> its ids as little-endian 32-bit integers.
+
+    A tokenizer that drops white space has no token across it, so texts are encoded word by word and the words
+    remembered. What is cut from a word of Latin-1 letters goes straight to the tokenizer's model; any other word, and one
+    that may hold a special token, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        known, split = self.known, [BLANKS.split(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[w] = np.array(e.ids, "<i4").tobytes()
-        if len(known) + len(fresh) <= WORDS:
-            known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
-            return [b"".join([known.get(w) if w in known else fresh[w] for w in words]) for words in split]
-        out = [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in split]
-        known.clear()
-        known.update((w, x) for w, x in list(fresh.items())[: WORDS // 2] if len(w) <= LONGEST)
-        return out
+        spec = json.loads(self.tokenizer.to_str())
+        cuts = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        forms = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.direct = cuts == [PRETOKEN.pattern, None] and forms == ["NFC", "Replace", "Lowercase"]
+        self.model, self.letters, self.cores = self.tokenizer.model, byte_letters(), {}
+        self.special = [t["content"][:1] for t in spec["added_tokens"]]
+
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if self.direct and max(word) <= "\xff" and not any(x in word for x in self.special):
+            ids = b"".join([self.cores.get(c) or self._core(c) for c in PRETOKEN.findall(word.lower())])
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _core(self, core: str) -> bytes:
+        tokens = self.model.tokenize(core.encode().decode("latin-1").translate(self.letters))
+        ids = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+        if len(core) <= LONGEST:
+            if len(self.cores) >= WORDS // 2:
+                self.cores.clear()
+            self.cores[core] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(1)
@@ -75,7 +103,7 @@ def write_tokens(
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 rows = batch.slice(i, 500)
-                ids = [x + end for x in encoder.encode([t or "" for t in rows.column(1).to_pylist()])]
+                ids = [encoder.encode(t or "") + end for t in rows.column(1).to_pylist()]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(n)))
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
