@@ -24,7 +24,24 @@ from sentencepiece import sentencepiece_model_pb2
 SPACE = "▁"
 RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Runs remembered by a worker, the longest of them, and compatible pairs remembered.
-RUNS, LONGEST_RUN, PAIRS = 1 << 18, 48, 1 << 20
+RUNS, LONGEST_RUN, PAIRS = 1 << 19, 48, 1 << 20
+
+
+class Runs(dict):
+    """Run -> (its ids joined by spaces, how many, what they decode to)."""
+
+    def __init__(self, table: PieceTable):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, run: str) -> tuple[str, int, str]:
+        ids = self.table.encode_run(run)
+        found = (" ".join(map(str, ids)), len(ids), self.table.pieces_of(ids))
+        if len(run) <= LONGEST_RUN:
+            if len(self) >= RUNS:
+                self.clear()
+            self[run] = found
+        return found
 
 
 class PieceTable:
@@ -55,6 +72,8 @@ class PieceTable:
             else:
                 raise ValueError("only normal pieces are known here")
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: What a piece decodes to; None where that isn't a piece's text.
+        self.plain = [p.piece.replace(SPACE, " ") if p.type == p.NORMAL else None for p in proto.pieces]
         self.eos = next(i for i in self.control if self.text[i] == "</s>")
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -65,7 +84,7 @@ class PieceTable:
                 self.automaton.add_word(text, (i, len(text)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.runs: dict[str, tuple[str, int, str]] = {}
+        self.runs = Runs(self)
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """A short text after all merges, the best first (of equal ones the leftmost), and the last merge."""
@@ -150,17 +169,12 @@ class PieceTable:
         out.reverse()
         return out
 
-    def _run(self, run: str) -> tuple[str, int, str]:
-        ids = self.encode_run(run)
-        found = (" ".join(map(str, ids)), len(ids), self.pieces_of(ids))
-        if len(run) <= LONGEST_RUN:
-            if len(self.runs) >= RUNS:
-                self.runs.clear()
-            self.runs[run] = found
-        return found
-
     def pieces_of(self, ids: list[int]) -> str:
         """What ids decode to, but for the first white space; bytes that are no UTF-8 become U+FFFD each."""
+        try:
+            return "".join([self.plain[i] for i in ids])
+        except TypeError:  # bytes, or a control or unknown id
+            pass
         out, held = [], bytearray()
 
         def flush() -> None:
@@ -195,11 +209,10 @@ class PieceTable:
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(ids, the ids joined by spaces, the decoded text) of each text, with an end id."""
-        known = self.runs.get
+        known, eos = self.runs.__getitem__, str(self.eos)
         for text in texts:
-            found = [known(r) or self._run(r) for r in RUN.findall(SPACE + text.replace(" ", SPACE))] if text else []
-            ids = " ".join([*[f[0] for f in found], str(self.eos)])
-            yield sum([f[1] for f in found]) + 1, ids, "".join([f[2] for f in found]).removeprefix(" ")
+            ids, n, decoded = zip(*map(known, RUN.findall(SPACE + text.replace(" ", SPACE))), strict=True) if text else ((), (), ())
+            yield sum(n) + 1, " ".join([*ids, eos]), "".join(decoded).removeprefix(" ")
 
 
 @lru_cache(1)
