@@ -10,12 +10,14 @@ from .pii import op3_pii_sanitise
 from .shards import op8_lpt_sharding
 from .simhash import op10_simhash_near_dedup
 from .tokenfiles import op9_token_files
+from .toxicity import op4_toxicity
 from .warc import OP1_SQL, op1_warc_chunks
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii_sanitise": op3_pii_sanitise,
+    "op4_toxicity": op4_toxicity,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_lpt_sharding": op8_lpt_sharding,
     "op9_token_files": op9_token_files,
