@@ -33,34 +33,62 @@ HOME_BLOCK, CAME_BLOCK = 2048, 16384
 # ---- fingerprints
 
 
-def fingerprint_of(data: bytes, words_each: int) -> int:
-    """Of one text's UTF-8: lower-cased A-Z, split at ASCII white space; 0 if it has no words."""
-    words = data.lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], words_each: int) -> np.ndarray:
+    """XXH64 (seed 42) of each words_each words in a row, space-joined; of all words where there are fewer."""
     if len(words) <= words_each:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - words_each + 1].tolist()
-        hashes = [digest(joined[s:e], 42) for s, e in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=True)]
-    h, ones = np.array(hashes, np.uint64), np.zeros(64, np.int64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - words_each + 1].tolist()
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, (ends[words_each - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
-    """(id, fp) for every row; fp is the 64 bits as a long. A null text counts as an empty one, whose fingerprint is 0."""
+def fingerprint_of(data: bytes, words_each: int) -> int:
+    """Of one text's UTF-8: lower-cased A-Z, split at ASCII white space; 0 if it has no words."""
+    words = data.lower().split()
+    return majority(shingle_hashes(words, words_each)) if words else 0
+
+
+def long_fingerprint_of(data: bytes, words_each: int) -> list[int]:
+    """Of 256 bits, as four integers: the hashes are mixed anew for each."""
+    words = data.lower().split()
+    if not words:
+        return [0] * 4
+    h = shingle_hashes(words, words_each)
+    out = []
+    for k in range(4):
+        x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(x ^ (x >> np.uint64(29))))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, confirm_words: int = 0) -> DataFrame:
+    """(id, fp) for every row; fp is the 64 bits as a long. With confirm_words also c0 to c3, the long fingerprint of
+    shingles of so many words. A null text counts as an empty one, whose fingerprints are 0."""
+    extra = [f"c{k}" for k in range(4)] if confirm_words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps = [fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", words_each) for t in rows.column(1)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps, more = [], []
+            for t in rows.column(1):
+                data = t.as_buffer().to_pybytes() if t.is_valid else b""
+                fps.append(fingerprint_of(data, words_each))
+                if extra:
+                    more.append(long_fingerprint_of(data, confirm_words))
+            columns = [rows.column(0), pa.array(fps, pa.int64()), *(pa.array([m[k] for m in more], pa.int64()) for k in range(len(extra)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", *extra])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "fp", *extra]))
 
 
 # ---- covering codes
@@ -140,8 +168,14 @@ def parts_of(radius: int, bits: int = 64, most: int = 23) -> tuple[list[tuple[in
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
     """A forest of the links between the fingerprints at home at an anchor and those that came: (a, b) pairs, at most one
     for each fingerprint. Compared in strips, so that memory stays bounded however many link."""
-    home, came = rows.loc[rows["home"], "fp"].to_numpy(), rows.loc[~rows["home"], "fp"].to_numpy()
-    radius = int(rows["radius"].iloc[0]) if len(rows) else 0
+    at_home = rows["home"].to_numpy(bool)
+    home, came = rows[at_home], rows[~at_home]
+    extra = [c for c in rows.columns if c in ("c0", "c1", "c2", "c3")]
+    column = lambda df, c: df[c].to_numpy(np.int64).view(np.uint64)
+    nodes, others = home["node"].to_numpy(np.int64), came["node"].to_numpy(np.int64)
+    fp, fp2 = column(home, "fp"), column(came, "fp")
+    long, long2 = ([column(df, c) for c in extra] for df in (home, came))
+    radius, confirm = (int(rows[c].iloc[0]) for c in ("radius", "confirm"))
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -151,49 +185,59 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
         return x
 
     for i in range(0, len(home), 256):
-        strip = home[i : i + 256]
-        near = np.bitwise_count(strip[:, None].view(np.uint64) ^ came[None, :].view(np.uint64)) <= radius
-        near &= strip[:, None] != came[None, :]
+        near = np.bitwise_count(fp[i : i + 256, None] ^ fp2[None, :]) <= radius
+        near &= nodes[i : i + 256, None] != others[None, :]
         row, col = np.nonzero(near)
+        if extra and len(row):
+            apart = sum(np.bitwise_count(a[i + row] ^ b[col]).astype(np.int64) for a, b in zip(long, long2, strict=True))
+            row, col = row[apart <= confirm], col[apart <= confirm]
         if not len(row):
             continue
-        first = near.argmax(0)
-        cols = np.unique(col)
+        # Each that came joins the first at home that it links to; those at home that it links to besides join that one.
+        first = np.zeros(len(came), np.int64)
+        order = np.lexsort((row, col))
+        cols, at = np.unique(col[order], return_index=True)
+        first[cols] = row[order][at]
         joined = np.unique(row * 256 + first[col])
-        for x, y in zip([*came[cols].tolist(), *strip[joined // 256].tolist()], [*strip[first[cols]].tolist(), *strip[joined % 256].tolist()], strict=True):
+        pairs = [*zip(others[cols].tolist(), nodes[i + first[cols]].tolist(), strict=True), *zip(nodes[i + joined // 256].tolist(), nodes[i + joined % 256].tolist(), strict=True)]
+        for x, y in pairs:
             if (p := root(x)) != (q := root(y)):
                 up[max(p, q)] = min(p, q)
-    nodes = [x for x in up if root(x) != x]
-    return pd.DataFrame({"a": np.array(nodes, np.int64), "b": np.array([root(x) for x in nodes], np.int64)})
+    found = [x for x in up if root(x) != x]
+    return pd.DataFrame({"a": np.array(found, np.int64), "b": np.array([root(x) for x in found], np.int64)})
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, fine: bool = False) -> DataFrame:
-    """(a, b) pairs of different fingerprints of `fps` (fp, each once) that connect all that are within `radius`."""
+def near_links(fps: DataFrame, radius: int = RADIUS, confirm: int = 0, fine: bool = False) -> DataFrame:
+    """(a, b) pairs of nodes that connect all whose fingerprints are within `radius`, and where fps has c0 to c3 whose
+    long fingerprints are within `confirm`. fps: (node, fp), each node once."""
     spark = fps.sparkSession
     parts, slack = parts_of(radius)
     columns = hamming_columns if fine else golay_columns
+    carried = [c for c in fps.columns if c in ("node", "fp", "c0", "c1", "c2", "c3")]
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = {n: CoveringCode(columns(n), slack) for _, n in parts}
         for rows in batches:
-            fp = rows["fp"].to_numpy(np.int64)
-            for i in range(0, len(fp), 20_000):
-                block = fp[i : i + 20_000]
+            for i in range(0, len(rows), 5_000):
+                block = rows.iloc[i : i + 5_000]
+                fp = block["fp"].to_numpy(np.int64).view(np.uint64)
                 for k, (shift, n) in enumerate(parts):
-                    word = ((block.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << n) - 1)).astype(np.int64)
+                    word = ((fp >> np.uint64(shift)) & np.uint64((1 << n) - 1)).astype(np.int64)
                     row, anchor, at_home = codes[n].anchors(word)
-                    yield pd.DataFrame({"part": np.int32(k), "anchor": anchor.astype(np.int32), "home": at_home, "fp": block[row]})
+                    head = {"part": np.int32(k), "anchor": anchor.astype(np.int32), "home": at_home}
+                    yield pd.DataFrame(head | {c: block[c].to_numpy()[row] for c in carried})
 
-    rows = fps.select("fp").mapInPandas(replicate, "part int, anchor int, home boolean, fp long")
+    kinds = "part int, anchor int, home boolean, " + ", ".join(f"{c} long" for c in carried)
+    rows = fps.select(*carried).mapInPandas(replicate, kinds)
     # One row for each anchor in use: at most 3 times 2^12 (2^17 if fine), however many fingerprints there are.
     cells = rows.groupBy("part", "anchor").agg(F.count(F.lit(1)).alias("came_n"), F.count_if("home").alias("home_n"))
     cells = cells.where("home_n > 0 AND came_n > 1").select(
         "part", "anchor", F.ceil(F.col("home_n") / HOME_BLOCK).cast("int").alias("hs"), F.ceil(F.col("came_n") / CAME_BLOCK).cast("int").alias("cs")
     )
     rows = rows.join(F.broadcast(cells), ["part", "anchor"])
-    deal = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["part", "anchor", "fp", F.lit(radius).alias("radius")]
+    keep = ["part", "anchor", *carried, F.lit(radius).alias("radius"), F.lit(confirm).alias("confirm")]
     at_home = rows.where("home").select(*keep, F.lit(True).alias("home"), deal("hs").alias("i"), every("cs").alias("j"))
     came = rows.select(*keep, F.lit(False).alias("home"), every("hs").alias("i"), deal("cs").alias("j"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -202,20 +246,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, fine: bool = False) -> Data
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = RADIUS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = RADIUS, confirm_words: int = 0, confirm: int = 0
 ) -> DataFrame:
     """(id, fp, component): for each row of docs its fingerprint and the smallest id that links reach from it.
 
-    Equal fingerprints always belong together, those of texts without words (null, empty) included. A row without an id
-    gets the smallest id of its component, null if that has none. Repeated rows each come back. An empty table gives an
-    empty one. Other columns are ignored."""
-    prints = written(fingerprints(docs, id_col, text_col, words_each), "fingerprints")
-    groups = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    roots = connected_components(near_links(groups, radius, fine=groups.count() > COARSE_UP_TO))
-    of = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    With confirm_words, a link also needs long fingerprints, of shingles of so many words, that differ in at most
+    `confirm` of 256 bits. Equal fingerprints always belong together, those of texts without words (null, empty) included.
+    A row without an id gets the smallest id of its component, null if that has none. Repeated rows each come back. An
+    empty table gives an empty one. Other columns are ignored."""
+    prints = fingerprints(docs, id_col, text_col, words_each, confirm_words)
+    own = [c for c in prints.columns if c != "id"]
+    prints = written(prints.withColumn("node", F.xxhash64(*own) if confirm_words else F.col("fp")), "fingerprints")
+    groups = written(prints.groupBy("node", *own).agg(F.min("id").alias("least")), "groups")
+    roots = connected_components(near_links(groups, radius, confirm, fine=groups.count() > COARSE_UP_TO))
+    of = groups.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component"))
-    of = of.join(ids, "root").select("fp", "component")
-    return prints.join(of, "fp").select("id", "fp", "component")
+    of = of.join(ids, "root").select("node", "component")
+    return prints.join(of, "node").select("id", "fp", "component")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
