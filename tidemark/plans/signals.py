@@ -60,7 +60,7 @@ QUERIES: dict[str, Text] = {
     "backtest_sweep": over(f"SELECT CAST(t.threshold AS DOUBLE) AS threshold, m.min_s, {_STATS} FROM stable w CROSS JOIN (VALUES (0.5), (0.55), (0.6), (0.65), (0.7), (0.75), (0.8), (0.85), (0.9), (0.95)) AS t(threshold) CROSS JOIN (VALUES (0), (60), (120), (300)) AS m(min_s) WHERE duration_s > 0 AND duration_s >= m.min_s AND percentile >= t.threshold GROUP BY t.threshold, m.min_s"),
     "backtest_stability": over(f", pairs AS (SELECT candidate, event_id, max(stability) AS best FROM stable GROUP BY candidate, event_id), chosen AS (SELECT candidate, event_id FROM pairs WHERE best > 1) SELECT {_STATS} FROM stable w WHERE duration_s > 0 AND EXISTS (SELECT 1 FROM chosen c WHERE c.candidate = w.candidate AND c.event_id = w.event_id)"),
     "backtest_per_event": over("SELECT event_id, count(*) AS total_trades, round(avg(avg_edge), 8) AS mean_edge, round(avg(duration_s), 6) AS mean_duration_s FROM stable WHERE duration_s > 0 AND percentile >= 0.5 GROUP BY event_id"),
-    "backtest_lift": over(", n AS (SELECT avg(avg_edge) AS e, avg(duration_s) AS t, count(*) AS k FROM windows WHERE duration_s > 0), f AS (SELECT avg(avg_edge) AS e, avg(duration_s) AS t, count(*) AS k FROM stable WHERE duration_s > 0 AND percentile >= 0.8) SELECT round(f.e / nullif(n.e, 0), 6) AS edge_lift, round(f.t / nullif(n.t, 0), 6) AS duration_lift, round(100.0 * f.k / nullif(n.k, 0), 6) AS pct_of_naive FROM n CROSS JOIN f"),
+    "backtest_lift": over(", n AS (SELECT avg(avg_edge) AS e, avg(duration_s) AS t, count(*) AS k FROM windows WHERE duration_s > 0), f AS (SELECT avg(avg_edge) AS e, avg(duration_s) AS t, count(*) AS k FROM stable WHERE duration_s > 0 AND percentile >= 0.8) SELECT round(f.e / nullif(n.e, 0), 6) AS edge_lift, round(f.t / nullif(n.t, 0), 6) AS duration_lift, round(100 * CAST(f.k AS DOUBLE) / nullif(n.k, 0), 6) AS pct_of_naive FROM n CROSS JOIN f"),
     "backtest_rejections": over("SELECT event_id, coalesce(rejection_reason, 'accepted') AS rejection_reason, count(*) AS cnt FROM windows GROUP BY 1, 2"),
     "backtest_min_duration": over("SELECT event_id, count(*) AS windows_all, count(*) FILTER (WHERE duration_s >= 60) AS windows_60s, count(*) FILTER (WHERE duration_s >= 120) AS windows_120s, count(*) FILTER (WHERE duration_s >= 300) AS windows_300s FROM windows GROUP BY event_id"),
     "backtest_q1": over("SELECT candidate, count(*) AS total_windows, round(avg(avg_edge), 8) AS mean_edge, round(avg(duration_s), 6) AS mean_duration, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY duration_s), 6) AS median_duration, round(sum(avg_edge), 6) AS total_edge FROM windows WHERE event_id = 'click' GROUP BY candidate"),
@@ -73,9 +73,9 @@ QUERIES: dict[str, Text] = {
     "market_families": lambda d: f"WITH {_CONSENSUS} SELECT family_id, label, count(*) AS n_links, round(max(consensus), 6) AS consensus_price, count(price_yes) AS priced FROM ranked WHERE event_id = 7 GROUP BY family_id, label",
     "politics_insights": lambda d: f"WITH {_CONSENSUS}, f AS (SELECT family_id, count(*) AS legs, round(max(max_divergence), 6) AS max_divergence, max(CASE WHEN provider = 'exch' THEN price_yes END) AS price_1, max(CASE WHEN provider = 'pool' THEN price_yes END) AS price_2 FROM ranked GROUP BY family_id) SELECT * FROM f WHERE legs >= 2 ORDER BY max_divergence DESC NULLS LAST, family_id LIMIT 100",
     "latest_snapshots": lambda d: "SELECT market_id, observed_us, price_yes, liquidity FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY observed_us DESC, snapshot_id DESC) AS rn FROM snapshots) AS s WHERE rn = 1",
-    "snapshot_history": lambda d: f"SELECT p.provider, CAST(floor(s.observed_us / {DAY_US}) AS BIGINT) AS day, CAST(round(avg(s.price_yes), 4) AS DOUBLE) AS price_yes_avg, count(*) AS n FROM current_links l JOIN providers p ON p.provider_id = l.provider_id JOIN snapshots s ON s.market_id = l.market_id WHERE l.family_id BETWEEN 1 AND 20 GROUP BY 1, 2",
+    "snapshot_history": lambda d: f"SELECT p.provider, CAST(floor(s.observed_us / {DAY_US}) AS BIGINT) AS day, floor(CAST(2 * sum(CAST(floor(s.price_yes * 10000 + 0.5) AS BIGINT)) + count(*) AS DOUBLE) / (2 * count(*))) / CAST(10000 AS DOUBLE) AS price_yes_avg, count(*) AS n FROM current_links l JOIN providers p ON p.provider_id = l.provider_id JOIN snapshots s ON s.market_id = l.market_id WHERE l.family_id BETWEEN 1 AND 20 GROUP BY 1, 2",
     "freshness": lambda d: f"SELECT l.provider_id, max(s.observed_us) AS last_us, CAST(floor((max(a.now_us) - max(s.observed_us)) / 1000000) AS BIGINT) AS lag_s FROM current_links l JOIN snapshots s ON s.market_id = l.market_id CROSS JOIN (SELECT max(observed_us) AS now_us FROM snapshots) AS a WHERE s.observed_us > a.now_us - 30 * {DAY_US} GROUP BY l.provider_id",
     "frontier": lambda d: "SELECT f.label, a.market_id AS market_1, b.market_id AS market_2, e.slug, round(greatest(a.confidence, b.confidence), 4) AS best FROM current_links a JOIN current_links b ON a.family_id = b.family_id AND a.provider_id <> b.provider_id JOIN families f ON f.family_id = a.family_id LEFT JOIN canonical_events e ON e.event_id = f.event_id WHERE a.provider_id = 1 AND b.provider_id = 2 AND a.relationship_type IN ('identical', 'equivalent') AND b.relationship_type IN ('identical', 'equivalent') ORDER BY greatest(a.confidence, b.confidence) DESC, a.market_id, b.market_id LIMIT 200",
-    "uptime": lambda d: f"WITH b AS (SELECT DISTINCT CAST(floor(placed_us / {DAY_US}) AS BIGINT) AS bucket FROM mm_orders), r AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM b), t AS (SELECT hi - lo + 1 AS total FROM r) SELECT total AS total_windows, (SELECT count(*) FROM b) AS active_windows, total - (SELECT count(*) FROM b) AS dormant_windows, round(100.0 * (SELECT count(*) FROM b) / total, 2) AS uptime_pct FROM t",
+    "uptime": lambda d: f"WITH b AS (SELECT DISTINCT CAST(floor(placed_us / {DAY_US}) AS BIGINT) AS bucket FROM mm_orders), r AS (SELECT min(bucket) AS lo, max(bucket) AS hi FROM b), t AS (SELECT hi - lo + 1 AS total FROM r) SELECT total AS total_windows, (SELECT count(*) FROM b) AS active_windows, total - (SELECT count(*) FROM b) AS dormant_windows, round(100 * CAST((SELECT count(*) FROM b) AS DOUBLE) / total, 2) AS uptime_pct FROM t",
 }
 # A continued WITH list: "WITH a AS (...) , b AS (...) SELECT" reads the same as one list.
