@@ -147,8 +147,8 @@ def golay_columns(n: int) -> list[int]:
 
 
 def hamming_columns(n: int) -> list[int]:
-    """A Hamming code of 15 bits beside n - 15 bits that all stay as they are: covering radius 1, finer anchors."""
-    return list(range(1, 16)) + [1 << (4 + i) for i in range(n - 15)]
+    """A Hamming code of 15 bits beside n - 15 bits without a check: covering radius 1, finer anchors."""
+    return list(range(1, 16)) + [0] * (n - 15)
 
 
 #: Below so many different fingerprints the coarser anchors replicate less; above, the finer ones keep groups small.
