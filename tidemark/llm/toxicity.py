@@ -166,48 +166,48 @@ def fit_label_model(patterns: DataFrame, known: np.ndarray, prior: float, steps:
     table = np.moveaxis(known, 0, 1) + 0.5
     model = LabelModel(table / table.sum(2, keepdims=True), np.ones(voters), prior)
 
-    def added(model: LabelModel, pairs: bool) -> np.ndarray:
-        size = voters * 3
+    def added(model: LabelModel, of: str) -> np.ndarray:
+        """Expected counts: of each vote of each voter (`one`), or of two voters voting toxic together (`two`), by label."""
+        size = voters * 3 if of == "one" else voters * voters
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, size, size if pairs else 1))
+            total = np.zeros((2, size))
             for batch in batches:
                 for i in range(0, batch.num_rows, 2000):
                     rows = batch.slice(i, 2000)
                     votes = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint8).reshape(-1, voters)
                     n = rows.column(1).to_numpy(zero_copy_only=False)
                     toxic = model.posterior(votes)
-                    hot = np.zeros((len(votes), size))
-                    hot[np.arange(len(votes))[:, None], np.arange(voters) * 3 + votes] = 1
+                    said = (votes == 1).astype(float) if of == "two" else np.equal.outer(votes, np.arange(3)).reshape(len(votes), -1).astype(float)
                     for label, p in enumerate((1 - toxic, toxic)):
-                        w = (n * p)[:, None]
-                        total[label] += hot.T @ (hot * w) if pairs else (hot * w).sum(0)[:, None]
-            yield pa.RecordBatch.from_pydict({"total": [total.ravel().tolist()]})
-
-        # One row for each task, of a size that only the number of voters sets; added up by position.
-        sums = patterns.mapInArrow(run, "total array<double>").select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-        out = np.zeros(2 * size * (size if pairs else 1))
+                        weighted = said * (n * p)[:, None]
+                        total[label] += (said.T @ weighted).ravel() if of == "two" else weighted.sum(0)
+            at = np.nonzero(total.ravel())[0]
+            yield pa.RecordBatch.from_pydict({of: at, "n": total.ravel()[at]})
+
+        # From each task at most a row for each count; what they add up to is of a size that only the voters set.
+        sums = patterns.mapInArrow(run, f"{of} long, n double").groupBy(of).agg(F.sum("n").alias("n")).collect()
+        out = np.zeros(2 * size)
         for r in sums:
-            out[r["pos"]] = r["n"]
-        return out.reshape(2, size, -1)
+            out[r[of]] = r["n"]
+        return out.reshape(2, -1)
 
     for _ in range(steps):
-        counts = added(model, False)[:, :, 0].reshape(2, voters, 3) + known
+        counts = added(model, "one").reshape(2, voters, 3) + known
         table = np.moveaxis(counts, 0, 1) + 0.5
         table /= table.sum(2, keepdims=True)
         change = float(np.abs(table - model.table).max())
         model = LabelModel(table, model.weight, prior)
         if change < 1e-4:
             break
-    pairs = added(model, True)
+    n, pairs = added(model, "one").reshape(2, voters, 3).sum(2).mean(1), added(model, "two").reshape(2, voters, voters)
     # Correlation of two voters' toxic votes among texts of one label, beyond what the label explains.
     weight = np.zeros((voters, voters))
     for label in (0, 1):
-        both = pairs[label].reshape(voters, 3, voters, 3)[:, 1, :, 1]
-        n = max(np.einsum("ikik->", pairs[label].reshape(voters, 3, voters, 3)) / voters, 1e-9)
-        p = np.diag(both) / n
+        both = pairs[label] / max(n[label], 1e-9)
+        p = np.diag(both)
         sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-        weight += np.clip((both / n - np.outer(p, p)) / np.outer(sd, sd), 0, 1) / 2
+        weight += np.clip((both - np.outer(p, p)) / np.outer(sd, sd), 0, 1) / 2
     np.fill_diagonal(weight, 0)
     weight[weight < REPEATS] = 0
     return LabelModel(model.table, 1 / (1 + weight.sum(1)), prior)
