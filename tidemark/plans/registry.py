@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import audits, frames, making, signals
+from ..streaming import runs
+from . import audits, decisions, frames, making, signals
 from .dialect import query
 from .domain import TABLES
 
@@ -14,7 +15,8 @@ SQL: dict[str, str] = {}
 for _part in (signals, audits, making):
     for _name, _text in _part.QUERIES.items():
         QUERIES[_name], SQL[_name] = query(_text, TABLES)
-for _name, (_run, _text) in frames.QUERIES.items():
-    QUERIES[_name] = _run
-    if _text:
-        SQL[_name] = frames.sql_of(_text)
+for _part in (frames, decisions, runs):
+    for _name, (_run, _text) in _part.QUERIES.items():
+        QUERIES[_name] = _run
+        if _text:
+            SQL[_name] = frames.sql_of(_text)
