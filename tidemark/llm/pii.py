@@ -21,6 +21,8 @@ from .common import written
 MIN_DOCS = 5
 #: Letters of a term at least.
 MIN_LETTERS = 3
+#: Columns that the operator adds or works with; a table's own columns of these names give way.
+RESERVED = {"base", "terms", "sanitised", "degrees", "_key", "_text", "_pattern", "_hits", "_swaps", "_email", "_ip", "_card", "_phone"}
 #: Shares of an entity's information content.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -136,9 +138,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     and sanitised, its text with base spans replaced by [KIND] and terms removed or generalised.
 
     A null text has no spans and stays null. Terms inside base spans belong to those. Repeated rows are each counted and
-    each come back; null ids are allowed; other columns stay as they are, but not ones named like those added. An empty
-    table gives an empty one. Rows without base spans never move; those with some are written once, then joined."""
-    columns = docs.columns
+    each come back; null ids are allowed; other columns stay as they are, but those named in RESERVED are left out. An
+    empty table gives an empty one. Rows without base spans never move; those with some are written once, then joined."""
+    columns = [c for c in docs.columns if c not in RESERVED - {id_col, text_col}]
+    docs = docs.select(*columns)
     rows = docs.withColumns({"_key": F.xxhash64(F.col(id_col), F.col(text_col)), "_text": F.coalesce(F.col(text_col), F.lit(""))})
     rows = with_base_spans(rows, "_text", "base")
     none = rows.where(F.size("base") == 0).select(*columns, "base", F.array().cast("array<struct<start:int,end:int,term:string,degree:double>>").alias("terms"), F.col(text_col).alias("sanitised"))
