@@ -253,8 +253,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     prior = min(max((toxic or 0) / size, 1e-4), 1 - 1e-4) if size else 0.5
     deal = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     sample = known.where(deal < math.ceil(1e6 * min(1, LABELLED_ROWS / size)) if size else F.lit(False))
-    # Only the sampled rows meet their labels; the texts of the others do not move.
-    lexicon = mine(rows.where(~F.col("held_out")).join(sample, "id").select("text", "toxic"))
+    # The sample's ids go to the texts (LABELLED_ROWS of them, by the hash); no text moves.
+    lexicon = mine(rows.where(~F.col("held_out")).join(F.broadcast(sample), "id").select("text", "toxic"))
     reader = Reader(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
