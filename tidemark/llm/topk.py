@@ -30,8 +30,9 @@ def sign_code(vector: str) -> Column:
 
 
 def segments_for(n: int, bits: int = BITS) -> int:
-    """So many that a segment has about log2(n) bits: then a probe finds about one code."""
-    return max(2, min(8, round(bits / max(math.log2(max(n, 2)), 8))))
+    """So many that a segment has about log2(n) bits: then a probe finds about one code. Segments of fewer than 16 bits
+    would save a small table little."""
+    return max(2, round(bits / max(math.log2(max(n, 2)), 16)))
 
 
 def _cuts(m: int, bits: int = BITS) -> list[tuple[int, int]]:
