@@ -5,7 +5,8 @@ r = 0, 1, ... looks up, in every segment, the values that differ from the query'
 code within m (r + 1) - 1 bits has been found (by pigeonhole one of its segments is within r), so a query is done once it
 has k verified neighbours that near; only queries that are not done go on to the next round.
 
-Each round is a join of the open queries' probes with the index on (segment, value). Codes are indexed once however many
+Each round is a join of the open queries' probes with the index on (segment, value). What is
+farther than a query's kth neighbour so far is left out in that join. Codes are indexed once however many
 rows have them, with the k smallest ids of those rows: no more can be among a query's first k."""
 
 from __future__ import annotations
@@ -62,26 +63,30 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int
     m = segments or segments_for(n)
     index = written(codes.select("code", _values(m).alias("s")).select("code", "s.*"), "index")
     open_ = queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
-    open_ = written(open_, "open")
+    open_ = written(open_.withColumn("bound", F.lit(BITS)), "open")
     longest, done, found = max(n for _, n in _cuts(m)), None, None
     best = Window.partitionBy("query_id", "query").orderBy("distance", "id")
     for r in range(longest + 1):
-        probes = open_.withColumn("code", F.col("query")).select("query_id", "query", _values(m).alias("s")).select("query_id", "query", "s.*")
+        probes = open_.withColumn("code", F.col("query")).select("query_id", "query", "bound", _values(m).alias("s")).select("query_id", "query", "bound", "s.*")
         if r:  # one row for each way to flip r bits of a segment; the ways are a rule, not data
             flips = [(i, sum(1 << b for b in c)) for i, (_, n) in enumerate(_cuts(m)) for c in combinations(range(n), r)]
             ways = F.broadcast(open_.sparkSession.createDataFrame(flips or [(-1, 0)], "segment int, flip long"))  # at most m C(16, 8) rows
             probes = probes.join(ways, "segment").withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
-        near = probes.join(index, ["segment", "value"]).select("query_id", "query", "code").distinct()
+        # A code that is farther than the kth so far is left out where it is met.
+        p, x, apart = probes.alias("p"), index.alias("x"), F.bit_count(F.col("p.query").bitwiseXOR(F.col("x.code")))
+        hit = (F.col("p.segment") == F.col("x.segment")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("p.bound"))
+        near = p.join(x, hit).select("query_id", "query", "code").distinct()
         near = near.join(held, "code").select("query_id", "query", "id", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         near = near if found is None else near.unionByName(found.join(open_, ["query_id", "query"], "left_semi")).distinct()
         found = written(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
         covered = m * (r + 1) - 1
-        ends = found.groupBy("query_id", "query").agg(F.count_if(F.col("distance") <= covered).alias("n")).where(F.col("n") >= k)
-        ended = found.join(ends, ["query_id", "query"], "left_semi") if r < longest else found
+        full = found.groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth")).where(F.col("n") >= k)
+        ended = found.join(full.where(F.col("kth") <= covered), ["query_id", "query"], "left_semi") if r < longest else found
         done = ended if done is None else done.unionByName(ended)
         if r == longest:
             break
-        open_ = written(open_.join(ends, ["query_id", "query"], "left_anti"), "open")
+        open_ = open_.drop("bound").join(full, ["query_id", "query"], "left").where(F.col("kth").isNull() | (F.col("kth") > covered))
+        open_ = written(open_.select("query_id", "query", F.coalesce("kth", F.lit(BITS)).alias("bound")), "open")
         if not open_.take(1):
             break
     return done.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "id", "distance")
