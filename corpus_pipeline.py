@@ -13,7 +13,7 @@ from tidemark.llm.common import table, written
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.pieces import encode_and_decode
 from tidemark.llm.pii import sanitise
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.resemblance import near_copies
 from tidemark.llm.toxicity import toxicity
 from tidemark.session import on_workers
 
@@ -31,12 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each component of near-duplicates the row with the smallest id (of repeated rows one); of texts without words,
     which are all alike, one. Rows without an id are kept.
 
-    Near-duplicates here have a similarity of about 0.8 or more in their shingles of five words. Fingerprints of single
-    words, which an edited word moves by few bits, lead to the pairs; long fingerprints of the shingles confirm them: at
-    0.8 these differ by 39 of 256 bits, give or take 6."""
+    Near-duplicates here have 0.8 or more of their distinct five-word shingles in common, checked exactly; links chain."""
     on_workers(spark)
-    found = near_duplicates(docs, words_each=1, radius=8, confirm_words=5, confirm=50)
-    others = found.where("id IS NOT NULL AND id <> component").select(F.col("id").alias("doc_id")).distinct()
+    found = near_copies(docs, ["doc_id"]).where("doc_id IS NOT NULL")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
+    others = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
     rest = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
     return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id IS NULL"))
 

@@ -46,3 +46,41 @@ def test_candidates_of_each_kind_of_copy(kind, n):
             assert (a == b).any()
     assert tried > 50
     assert not len(band_keys(shingle_set(b" ")))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_links_are_exact(spark, monkeypatch, block):
+    from tidemark.llm import resemblance
+
+    monkeypatch.setattr(resemblance, "TEXT_BLOCK", block)
+    rnd, texts = random.Random(3), []
+    for n in (40, 60, 100):
+        base = words(rnd, n, 500)
+        texts.append(base)
+        for share in (0.05, 0.1, 0.2, 0.25, 0.3, 0.4):
+            texts += [base + words(rnd, int(n * share), 500), base[: int(n * (1 - share))], base[: n // 2] + words(rnd, int(n * share), 500) + base[n // 2 :]]
+    texts = [" ".join(t) for t in texts] + ["", None, " \t", "a b c", "A b  c", "a b d", texts[0][0] + " x y"]
+    up = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            x, y = ((t or "").lower().split() for t in (a, b))
+            if not x and not y or x and y and (min(len(x), len(y)) >= 5 or len(x) == len(y)) and jaccard(x, y) >= 0.8:
+                up = [up[j] if r == up[i] else r for r in up]
+    got = {r["id"]: r["root"] for r in resemblance.near_copies(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), ["id"]).collect()}
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (got[i] == got[j]) == (up[i] == up[j]), (texts[i], texts[j])
+
+
+def test_stage_keeps_what_is_below(spark):
+    pytest.importorskip("public_tokenizers")
+    from corpus_pipeline import drop_near_duplicates
+
+    rnd, rows = random.Random(8), []
+    for i in range(40):
+        base = words(rnd, 200, 3000)
+        rows += [(10 * i, base), (10 * i + 1, base + words(rnd, 46, 3000)), (10 * i + 2, base + words(rnd, 60, 3000))]  # 0.81, 0.77
+        assert jaccard(base, rows[-2][1]) >= 0.8 > jaccard(base, rows[-1][1]) and jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in drop_near_duplicates(spark, docs, "").collect()} == {i for i, _ in rows if i % 10 != 1}
