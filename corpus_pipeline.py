@@ -20,31 +20,39 @@ from tidemark.session import on_workers
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a key of the whole row, never null, by which decisions are carried back: ids may be missing or shared."""
+    return docs.select(*COLUMNS, F.xxhash64(*(F.struct(F.col(c).isNull(), c) for c in COLUMNS)).alias("key"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is not scored as toxic. Rows without an id are kept: no score can be told to be theirs."""
+    """Rows whose text is not scored as toxic, with or without an id."""
     on_workers(spark)
-    toxic = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(toxic, "doc_id", "left_anti")
+    docs = keyed(docs)
+    toxic = toxicity(docs, table(spark, sf_dir, "labels"), key_col="key").where("predicted = 1").select("key").distinct()
+    return docs.join(toxic, "key", "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the row with the smallest id (of repeated rows one); of texts without words,
-    which are all alike, one. Rows without an id are kept.
+    which are all alike, one. Rows without an id come last, by their key.
 
     Near-duplicates here have 0.8 or more of their distinct five-word shingles in common, checked exactly; links chain."""
     on_workers(spark)
-    found = near_copies(docs, ["doc_id"]).where("doc_id IS NOT NULL")
-    least = found.groupBy("root").agg(F.min("doc_id").alias("least"))
-    others = found.join(least, "root").where("doc_id <> least").select("doc_id").distinct()
-    rest = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    return rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id IS NULL"))
+    docs = keyed(docs)
+    found = near_copies(docs, ["key", "doc_id"])
+    first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")
+    least = found.groupBy("root").agg(F.min(first)["key"].alias("least"))
+    others = found.join(least, "root").where("key <> least").select("key").distinct()
+    return docs.join(others, "key", "left_anti").select(*COLUMNS).dropDuplicates(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no benchmark item is found."""
+    """Rows in which no benchmark item is found, with or without an id."""
     on_workers(spark)
-    hit = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(written(hit, "contaminated"), "doc_id", "left_anti")
+    docs = keyed(docs)
+    hit = contaminated(docs, table(spark, sf_dir, "benchmark"), id_col="key").select(F.col("id").alias("key")).distinct()
+    return docs.join(written(hit, "contaminated"), "key", "left_anti").select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

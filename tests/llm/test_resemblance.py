@@ -84,3 +84,39 @@ def test_stage_keeps_what_is_below(spark):
         assert jaccard(base, rows[-2][1]) >= 0.8 > jaccard(base, rows[-1][1]) and jaccard(rows[-2][1], rows[-1][1]) < 0.8
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in drop_near_duplicates(spark, docs, "").collect()} == {i for i, _ in rows if i % 10 != 1}
+
+
+def test_stages_without_ids_and_with_shared_ids(spark):
+    pytest.importorskip("public_tokenizers")
+    from corpus_pipeline import drop_contaminated, drop_near_duplicates
+
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 60").first()["text"]
+    rnd = random.Random(6)
+    one, two, three = (" ".join(words(rnd, 80, 3000)) for _ in range(3))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    told = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    rows = [(None, one), (1, one), (None, two), (None, two + " more"), (5, two + " other"), (7, three), (7, one), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], kinds)
+    got = drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, one), (5, two + " other"), (7, three), (0, "")])
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in [(None, item), (None, one), (3, item), (3, two)]], kinds)
+    assert told(drop_contaminated(spark, docs, "/root/testdata/sf0.001")) == sorted([(0, one), (3, two)])
+
+
+def test_toxic_rows_without_ids_go(spark):
+    pytest.importorskip("public_tokenizers")
+    import tempfile
+
+    from corpus_pipeline import drop_toxic
+
+    rnd, rows = random.Random(9), []
+    for i in range(600):
+        text = [rnd.choice(["the", "of", "and", "river", "stone", "cloud"]) + rnd.choice(["", "s", "er"]) for _ in range(20)]
+        rows.append((i, " ".join(text[:3] + ["grumbleface"] * (i % 4 == 0) + text[3:]), i % 4 == 0))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(i, 1, int(t)) for i, _, t in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    toxic, clean = rows[0][1] + " end", rows[1][1] + " end"
+    docs = [(i, t, "en", "s", None) for i, t, _ in rows] + [(i, t, "en", "s", None) for i in (None, 9000) for t in (toxic, clean)]
+    got = [(r["doc_id"], r["text"]) for r in drop_toxic(spark, spark.createDataFrame(docs, kinds), folder).collect()]
+    assert {x for x in got if x[0] in (None, 9000)} == {(None, clean), (9000, clean)}

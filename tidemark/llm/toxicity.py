@@ -236,8 +236,8 @@ def fit_linear(features: list[list[int]], target: np.ndarray, size: int, steps:
     return w, float(b)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every row of docs.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str = "") -> DataFrame:
+    """(id, held_out, score, predicted) of every row of docs; with key_col, a column of longs, also key.
 
     labels: (doc_id, toxic). Those of ids whose crc32 is divisible by 5 are held out: nothing is learnt from them. A null
     or empty text has no words and is scored by that alone. Null ids are scored and never held out. A repeated label
@@ -245,7 +245,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     columns are ignored, and without labels of both kinds every score is the share of toxic labels (0.5 without any)."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("held_out", held_out)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.col(key_col).alias("key")] if key_col else [])).withColumn("held_out", held_out)
+    own = ["id", "key", "held_out"] if key_col else ["id", "held_out"]
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = written(known.where(~held_out), "labels")
@@ -260,10 +261,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [reader.read(t.as_py()) for t in batch.column(1)]
-            columns = [batch.column(0), batch.column(2), pa.array([v for v, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "votes", "features"])
+            columns = [*(batch.column(c) for c in own), pa.array([v for v, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [*own, "votes", "features"])
 
-    seen = written(rows.mapInArrow(read, "id long, held_out boolean, votes binary, features array<int>"), "votes")
+    seen = written(rows.mapInArrow(read, f"id long, {'key long, ' if key_col else ''}held_out boolean, votes binary, features array<int>"), "votes")
     patterns = written(seen.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns")
     told = np.zeros((2, reader.voters, 3))
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("votes")), lambda i: F.substring(F.hex("votes"), 2 * i, F.lit(1)).cast("int")))
@@ -283,7 +284,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         w, b = np.zeros(reader.features), math.log(prior / (1 - prior))
     weights = F.broadcast(spark.createDataFrame([Row(weights=w.tolist())], "weights array<double>"))  # as long as the lexicon
     total = F.aggregate("features", F.lit(b), lambda acc, i: acc + F.element_at("weights", i + 1))
-    scored = seen.crossJoin(weights).select("id", "held_out", (1 / (1 + F.exp(-total))).alias("score"))
+    scored = seen.crossJoin(weights).select(*own, (1 / (1 + F.exp(-total))).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
