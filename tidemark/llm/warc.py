@@ -30,7 +30,7 @@ NEXT_RECORD = "\nWARC/1.1\r"
 
 def chunk_rows(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
     """Replaces the string column `payload` (null: empty) by data, first and last: a row for each chunk, in order, the
-    rows of a record together. A chunk that holds the start of a WARC record is cut inside it."""
+    rows of a record together. A chunk that holds the start of a WARC record, or would between header and trailer, is cut inside it."""
     others = [c for c in records.columns if c != payload]
     text = F.coalesce(F.col(payload), F.lit(""))
     piece = max(chunk, PIECE // chunk * chunk)
@@ -42,7 +42,8 @@ def chunk_rows(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFram
 
     df = cut(records, text, piece, others, "_i", "_n")
     df = cut(df, F.col("_t"), chunk, [*others, "_i", "_n"], "_j", "_m")
-    safe = F.when(F.contains("_t", F.lit(NEXT_RECORD)), F.split("_t", r"(?<=\nWARC)(?=/1\.1\r)")).otherwise(F.array("_t"))
+    # A chunk follows a newline and is followed by a carriage return, so its ends count as these.
+    safe = F.when(F.contains("_t", F.lit(NEXT_RECORD.strip())), F.split("_t", r"(?<=\nWARC|\AWARC)(?=/1\.1(?:\r|\z))")).otherwise(F.array("_t"))
     df = df.select(*others, "_i", "_n", "_j", "_m", F.size(safe).alias("_k"), F.posexplode(safe).alias("_p", "data"))
     return df.select(
         *others,
