@@ -12,7 +12,6 @@ rows have them, with the k smallest ids of those rows: no more can be among a qu
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +47,17 @@ def _values(m: int) -> Column:
     )))
 
 
+def _flipped(probes: DataFrame, r: int, m: int) -> DataFrame:
+    """A row for each way to flip r bits of a probe's segment, lowest bit first; the tasks that hold the probes make them."""
+    others = [c for c in probes.columns if c != "value"]
+    length = F.element_at(F.array(*(F.lit(n) for _, n in _cuts(m))), F.col("segment") + 1)
+    probes = probes.where(length >= r).withColumn("_last", F.lit(-1))
+    for left in range(r, 0, -1):  # so many bits are still to be flipped, each above the last
+        probes = probes.select(*others, "value", F.explode(F.sequence(F.col("_last") + 1, length - left)).alias("_last"))
+        probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_last"))))
+    return probes.drop("_last")
+
+
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance): for each query the k rows of the smallest Hamming distance, equal ones by id.
 
@@ -68,10 +78,8 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int
     best = Window.partitionBy("query_id", "query").orderBy("distance", "id")
     for r in range(longest + 1):
         probes = open_.withColumn("code", F.col("query")).select("query_id", "query", "bound", _values(m).alias("s")).select("query_id", "query", "bound", "s.*")
-        if r:  # one row for each way to flip r bits of a segment; the ways are a rule, not data
-            flips = [(i, sum(1 << b for b in c)) for i, (_, n) in enumerate(_cuts(m)) for c in combinations(range(n), r)]
-            ways = F.broadcast(open_.sparkSession.createDataFrame(flips or [(-1, 0)], "segment int, flip long"))  # at most m C(16, 8) rows
-            probes = probes.join(ways, "segment").withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+        if r:
+            probes = _flipped(probes, r, m)
         # A code that is farther than the kth so far is left out where it is met.
         p, x, apart = probes.alias("p"), index.alias("x"), F.bit_count(F.col("p.query").bitwiseXOR(F.col("x.code")))
         hit = (F.col("p.segment") == F.col("x.segment")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("p.bound"))
