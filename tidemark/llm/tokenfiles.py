@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,13 @@ from .common import new_path
 
 #: Bytes of a row group and of a page; rows of a page.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
-#: Words whose ids a worker remembers, and the longest of them.
-WORDS, LONGEST = 1 << 19, 48
-#: How the tokenizer cuts a word of Latin-1 letters, whose normal form is its lower case.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Pretokens whose ids a worker remembers, the longest of them, and bytes of text that are encoded together.
+KNOWN, LONGEST, BLOCK = 1 << 19, 48, 4 << 20
+#: How the tokenizer cuts texts; below, what of that is not a run of letters.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NOT_LETTERS = r"('s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+)"
+#: Beyond Latin-1 a normal form may be more than the lower case; these two of it are white space to the tokenizer alone.
+UNUSUAL = r"[^\x{00}-\x{FF}]|\x{85}|\x{A0}"
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,15 +41,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256)}
 
 
-class WordEncoder(dict):
-    """Word -> its ids as little-endian 32-bit integers.
+def _gathered(flat: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists that lie one after the other: those taken, in that order, likewise, and their sizes."""
+    n, starts = sizes[take], np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts[take] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
-    A tokenizer that drops white space has no token across it, so texts are encoded word by word and the words
-    remembered. What is cut from a word of Latin-1 letters goes straight to the tokenizer's model; any other word, and one
-    that may hold a special token, goes through the whole tokenizer."""
+
+def _totals(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(sizes)))[offsets]
+    return sums[1:] - sums[:-1]
+
+
+class BlockEncoder:
+    """The ids of many texts at once.
+
+    A tokenizer that drops white space has no token across it, so the different words of a block of texts are encoded, and
+    Arrow and NumPy put their ids together again. Words of Latin-1 letters are cut to pretokens, whose normal form is their
+    lower case, and each different one goes to the tokenizer's model once and is remembered; any other word, and one that
+    may hold a special token, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,40 +68,67 @@ class WordEncoder(dict):
         spec = json.loads(self.tokenizer.to_str())
         cuts = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         forms = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.direct = cuts == [PRETOKEN.pattern, None] and forms == ["NFC", "Replace", "Lowercase"]
-        self.model, self.letters, self.cores = self.tokenizer.model, byte_letters(), {}
-        self.special = [t["content"][:1] for t in spec["added_tokens"]]
-
-    def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if self.direct and max(word) <= "\xff" and not any(x in word for x in self.special):
-            ids = b"".join([self.cores.get(c) or self._core(c) for c in PRETOKEN.findall(word.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<i4").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def _core(self, core: str) -> bytes:
-        tokens = self.model.tokenize(core.encode().decode("latin-1").translate(self.letters))
-        ids = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
-        if len(core) <= LONGEST:
-            if len(self.cores) >= WORDS // 2:
-                self.cores.clear()
-            self.cores[core] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, words))
+        direct = cuts == [PRETOKEN, None] and forms == ["NFC", "Replace", "Lowercase"]
+        self.whole = "|".join([UNUSUAL, *(re.escape(t["content"][:1]) for t in spec["added_tokens"])]) if direct else ""
+        self.tokenize, self.letters, self.known = self.tokenizer.model.tokenize, byte_letters(), {}
+
+    def _pretoken(self, x: str) -> bytes:
+        plain = x.isascii() and x.isalpha()
+        tokens = self.tokenize(x if plain else x.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+
+    def _word(self, x: str) -> bytes:
+        return np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _ids(self, units: pa.Array, one) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, one after the other, and how many each has."""
+        known, out = self.known, []
+        if len(known) > KNOWN:
+            known.clear()
+        for x in units.to_pylist():
+            ids = known.get(x)
+            if ids is None:
+                ids = one(x)
+                if len(x) <= LONGEST:
+                    known[x] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), "<i4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id last, one after the other, and how many each text has."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = lists.flatten().dictionary_encode()
+        words, said = found.dictionary, found.indices.to_numpy()
+        odd = pc.match_substring_regex(words, self.whole)
+        usual = words.filter(pc.invert(odd))
+        cores = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(usual), NOT_LETTERS, r" \1 "))
+        parts = cores.flatten().dictionary_encode()
+        flat, n = _gathered(*self._ids(parts.dictionary, self._pretoken), parts.indices.to_numpy())
+        more, k = self._ids(words.filter(odd), self._word)
+        # The words' ids: usual ones first, then the others, then the end id.
+        sizes = np.concatenate((_totals(n, cores.offsets.to_numpy()), k, [1]))
+        flat = np.concatenate((flat, more, [end_id])).astype(np.int32)
+        odd = odd.to_numpy(zero_copy_only=False)
+        place = np.where(odd, len(usual) + np.cumsum(odd), np.cumsum(~odd)) - 1
+        offsets = lists.offsets.to_numpy()
+        taken = np.insert(place[said], offsets[1:] - offsets[0], len(words))
+        flat, n = _gathered(flat, sizes, taken)
+        return flat, _totals(n, offsets - offsets[0] + np.arange(len(offsets)))
 
 
 @lru_cache(1)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str) -> BlockEncoder:
+    return BlockEncoder(path)
+
+
+def _blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows whose texts have `most` bytes, or little more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64) + 64)
+    begin = 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, "left")) + 1
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def write_tokens(
@@ -96,21 +138,15 @@ def write_tokens(
 
     A null text counts as an empty one, which has the end id alone. Other columns are ignored. An empty table writes
     files without rows."""
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = _encoder(tokenizer), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                ids = [encoder.encode(t or "") + end for t in rows.column(1).to_pylist()]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for rows in _blocks(batch, 1):
+                flat, n = encoder.encode(rows.column(1), end_id)
                 offsets = np.concatenate(([0], np.cumsum(n)))
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(at + offsets[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)],
-                    ["id", "start_in_part", "n_tokens", "ids"],
-                )
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(at + offsets[:-1]), pa.array(n), ids], ["id", "start_in_part", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).orderBy(F.asc_nulls_first("id"))
