@@ -393,6 +393,8 @@ def test_near_duplicates(spark, docs, texts, empty):
     ids = [r[0] for r in rows_of(every)]
     got = sorted(((r["id"], r["fp"] & (2**64 - 1), r["component"]) for r in near_duplicates(spark.createDataFrame(rows_of(every), DOCS)).collect()), key=str)
     assert got == sorted(plain_components(every, ids), key=str)
+    fine = near_duplicates(spark.createDataFrame(rows_of(every), DOCS), fine=True).collect()
+    assert sorted(((r["id"], r["fp"] & (2**64 - 1), r["component"]) for r in fine), key=str) == got
     assert near_duplicates(empty).count() == 0
 
 

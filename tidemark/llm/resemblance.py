@@ -1,10 +1,16 @@
 """Near-duplicates by the Jaccard similarity of texts' distinct five-word shingles, checked exactly.
 
-Min-hashes lead to the candidates: a text has BANDS keys, each of ROWS min-hashes of its shingle set, and texts that share
-a key are candidates. A pair of similarity s shares none with probability (1 - s^ROWS)^BANDS, 5 in a million at 0.8,
-wherever the texts differ: in words edited here and there, in a passage appended or cut. Texts that share a key, directly
-or by way of others, are a pool; within each pool all pairs are compared on their whole shingle sets, and those of 0.8 or
-more are linked. Large pools are cut into blocks, and a task compares two blocks, so it never holds a pool."""
+Two leads name the candidates. The first is the SimHash of the shingles and its anchor-point covering (simhash.py): it
+leads to the copies with few edits. At a similarity of 0.8, however, fingerprints of 64 bits differ by 9.7 bits on average,
+and only 3 to 5 % of such pairs by the 4 bits that anchors cover; a radius of 18, which would find them all, would bring
+each fingerprint to half of all anchors. So min-hashes lead to the rest: a text has BANDS keys, each of ROWS min-hashes of
+its shingle set, and texts that share a key are candidates. A pair of similarity s shares none with probability
+(1 - s^ROWS)^BANDS, 5 in a million at 0.8, wherever the texts differ: in words edited here and there, in a passage
+appended or cut.
+
+Texts that a lead joins, directly or by way of others, are a pool; within each pool all pairs are compared on their whole
+shingle sets, and those of 0.8 or more are linked. Large pools are cut into blocks, and a task compares two blocks, so it
+never holds a pool."""
 
 from __future__ import annotations
 
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 from .decontaminate import SHINGLE, SIMILAR, _mixed, shingle_hashes, word_hashes, words_of
+from .simhash import RADIUS, majority, near_links
 
 #: Keys of a text, and min-hashes in each.
 BANDS, ROWS = 40, 6
@@ -67,8 +74,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(whole), 512):
             batch = whole.slice(i, 512)
             sets = _sets(batch, batch.num_columns - 1)
-            columns = [*batch.columns[:-1], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([band_keys(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "node", "n", "bands"])
+            columns = [*batch.columns[:-1], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), _lists([band_keys(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "node", "n", "fp", "bands"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +86,12 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pools(nodes: DataFrame) -> DataFrame:
-    """(node, pool) of each of nodes (node, bands) that shares a key with another: all that are joined so, and by way of
-    others, have one pool."""
+    """(node, pool) of each of nodes (node, n, fp, bands) that a lead joins to another: by fingerprints within RADIUS bits,
+    or by a key that both have. All that are joined so, and by way of others, have one pool."""
     at = nodes.select("node", F.explode("bands").alias("band"))
     heads = at.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "head")
-    roots = connected_components(at.join(heads, "band").select("node", "head"), "node", "head").withColumnRenamed("root", "pool")
+    joined = near_links(nodes.where("n > 0").select("node", "fp"), RADIUS).unionByName(at.join(heads, "band").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    roots = connected_components(joined).withColumnRenamed("root", "pool")
     return roots.unionByName(roots.select(F.col("pool").alias("node"), "pool").distinct())
 
 
@@ -145,8 +153,8 @@ def near_copies(docs: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     columns are ignored."""
     text = F.col(text_col).cast("string").alias("_text")
     kinds = ", ".join(f"`{k}` long" for k in keys)
-    prints = written(docs.select(*keys, text).mapInArrow(_prints, f"{kinds}, node long, n long, bands array<long>"), "prints")
-    nodes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    prints = written(docs.select(*keys, text).mapInArrow(_prints, f"{kinds}, node long, n long, fp long, bands array<long>"), "prints")
+    nodes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     pooled = written(pools(nodes).join(nodes.select("node", "n"), "node"), "pooled")
     sets = docs.select(text).mapInArrow(_shingles, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     roots = connected_components(exact_links(sets, pooled))

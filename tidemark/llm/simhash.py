@@ -57,38 +57,16 @@ def fingerprint_of(data: bytes, words_each: int) -> int:
     return majority(shingle_hashes(words, words_each)) if words else 0
 
 
-def long_fingerprint_of(data: bytes, words_each: int) -> list[int]:
-    """Of 256 bits, as four integers: the hashes are mixed anew for each."""
-    words = data.lower().split()
-    if not words:
-        return [0] * 4
-    h = shingle_hashes(words, words_each)
-    out = []
-    for k in range(4):
-        x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(majority(x ^ (x >> np.uint64(29))))
-    return out
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, confirm_words: int = 0) -> DataFrame:
-    """(id, fp) for every row; fp is the 64 bits as a long. With confirm_words also c0 to c3, the long fingerprint of
-    shingles of so many words. A null text counts as an empty one, whose fingerprints are 0."""
-    extra = [f"c{k}" for k in range(4)] if confirm_words else []
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
+    """(id, fp) for every row; fp is the 64 bits as a long. A null text counts as an empty one, whose fingerprint is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fps, more = [], []
-            for t in rows.column(1):
-                data = t.as_buffer().to_pybytes() if t.is_valid else b""
-                fps.append(fingerprint_of(data, words_each))
-                if extra:
-                    more.append(long_fingerprint_of(data, confirm_words))
-            columns = [rows.column(0), pa.array(fps, pa.int64()), *(pa.array([m[k] for m in more], pa.int64()) for k in range(len(extra)))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", *extra])
+            fps = [fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", words_each) for t in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["id", "fp", *extra]))
+    return rows.mapInArrow(run, "id long, fp long")
 
 
 # ---- covering codes
@@ -170,12 +148,10 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     for each fingerprint. Compared in strips, so that memory stays bounded however many link."""
     at_home = rows["home"].to_numpy(bool)
     home, came = rows[at_home], rows[~at_home]
-    extra = [c for c in rows.columns if c in ("c0", "c1", "c2", "c3")]
     column = lambda df, c: df[c].to_numpy(np.int64).view(np.uint64)
     nodes, others = home["node"].to_numpy(np.int64), came["node"].to_numpy(np.int64)
     fp, fp2 = column(home, "fp"), column(came, "fp")
-    long, long2 = ([column(df, c) for c in extra] for df in (home, came))
-    radius, confirm = (int(rows[c].iloc[0]) for c in ("radius", "confirm"))
+    radius = int(rows["radius"].iloc[0])
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -188,9 +164,6 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
         near = np.bitwise_count(fp[i : i + 256, None] ^ fp2[None, :]) <= radius
         near &= nodes[i : i + 256, None] != others[None, :]
         row, col = np.nonzero(near)
-        if extra and len(row):
-            apart = sum(np.bitwise_count(a[i + row] ^ b[col]).astype(np.int64) for a, b in zip(long, long2, strict=True))
-            row, col = row[apart <= confirm], col[apart <= confirm]
         if not len(row):
             continue
         # Each that came joins the first at home that it links to; those at home that it links to besides join that one.
@@ -207,13 +180,14 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(found, np.int64), "b": np.array([root(x) for x in found], np.int64)})
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, confirm: int = 0, fine: bool = False) -> DataFrame:
-    """(a, b) pairs of nodes that connect all whose fingerprints are within `radius`, and where fps has c0 to c3 whose
-    long fingerprints are within `confirm`. fps: (node, fp), each node once."""
+def near_links(fps: DataFrame, radius: int = RADIUS, fine: bool | None = None) -> DataFrame:
+    """(a, b) pairs of nodes that connect all whose fingerprints are within `radius`. fps: (node, fp), each node once;
+    both codes find the same links, and without `fine` the number of nodes decides between them."""
     spark = fps.sparkSession
+    fine = fps.count() > COARSE_UP_TO if fine is None else fine
     parts, slack = parts_of(radius)
     columns = hamming_columns if fine else golay_columns
-    carried = [c for c in fps.columns if c in ("node", "fp", "c0", "c1", "c2", "c3")]
+    carried = ["node", "fp"]
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = {n: CoveringCode(columns(n), slack) for _, n in parts}
@@ -237,7 +211,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, confirm: int = 0, fine: boo
     rows = rows.join(F.broadcast(cells), ["part", "anchor"])
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["part", "anchor", *carried, F.lit(radius).alias("radius"), F.lit(confirm).alias("confirm")]
+    keep = ["part", "anchor", *carried, F.lit(radius).alias("radius")]
     at_home = rows.where("home").select(*keep, F.lit(True).alias("home"), deal("hs").alias("i"), every("cs").alias("j"))
     came = rows.select(*keep, F.lit(False).alias("home"), every("hs").alias("i"), deal("cs").alias("j"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -245,24 +219,19 @@ def near_links(fps: DataFrame, radius: int = RADIUS, confirm: int = 0, fine: boo
     return both.groupBy("part", "anchor", "i", "j").applyInPandas(_links, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = RADIUS, confirm_words: int = 0, confirm: int = 0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, radius: int = RADIUS, fine: bool | None = None) -> DataFrame:
     """(id, fp, component): for each row of docs its fingerprint and the smallest id that links reach from it.
 
-    With confirm_words, a link also needs long fingerprints, of shingles of so many words, that differ in at most
-    `confirm` of 256 bits. Equal fingerprints always belong together, those of texts without words (null, empty) included.
-    A row without an id gets the smallest id of its component, null if that has none. Repeated rows each come back. An
-    empty table gives an empty one. Other columns are ignored."""
-    prints = fingerprints(docs, id_col, text_col, words_each, confirm_words)
-    own = [c for c in prints.columns if c != "id"]
-    prints = written(prints.withColumn("node", F.xxhash64(*own) if confirm_words else F.col("fp")), "fingerprints")
-    groups = written(prints.groupBy("node", *own).agg(F.min("id").alias("least")), "groups")
-    roots = connected_components(near_links(groups, radius, confirm, fine=groups.count() > COARSE_UP_TO))
-    of = groups.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    Equal fingerprints always belong together, those of texts without words (null, empty) included. A row without an id
+    gets the smallest id of its component, null if that has none. Repeated rows each come back. An empty table gives an
+    empty one. Other columns are ignored."""
+    prints = written(fingerprints(docs, id_col, text_col, words_each), "fingerprints")
+    groups = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "groups")
+    roots = connected_components(near_links(groups.select(F.col("fp").alias("node"), "fp"), radius, fine)).withColumnRenamed("node", "fp")
+    of = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = of.groupBy("root").agg(F.min("least").alias("component"))
-    of = of.join(ids, "root").select("node", "component")
-    return prints.join(of, "node").select("id", "fp", "component")
+    of = of.join(ids, "root").select("fp", "component")
+    return prints.join(of, "fp").select("id", "fp", "component")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
