@@ -2,9 +2,12 @@
 
 For each length that a benchmark item has in words, the windows of that many words of every document get the SimHash of
 their word shingles. A window's candidates are the items of its length whose fingerprint is within RADIUS bits: the
-fingerprint is cut into BLOCKS blocks, and where at most RADIUS bits differ, at most RADIUS // BLOCKS do in one block, so
-looking in each block's index for values that near finds all of them. Candidates are verified exactly: the similarity of
-two texts is the weighted Jaccard similarity of their shingles, each weighted by how often it occurs.
+fingerprint is cut into BLOCKS blocks, and where at most RADIUS bits differ, at most RADIUS // BLOCKS do in one block. So
+each block has an index of values, and a window looks up what is that near to its own: an item stands under all values
+within some bits of its own, a window asks for all values within the other bits of its own, so that they meet. The more
+items, the more of the bits are left to the windows; that bounds the index and changes no result. Candidates are verified
+exactly: the similarity of two texts is the weighted Jaccard similarity of their shingles, each weighted by how often it
+occurs.
 
 Before a window is hashed, two numbers that cost little must allow that similarity: a bitmap of fixed size tells which of
 a document's shingles can be in any item at all, and a window needs enough of them. That drops no window that an item is
@@ -12,6 +15,7 @@ similar to."""
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,10 +27,14 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, and the similarity from which a window is contaminated.
 SHINGLE, SIMILAR = 5, 0.8
-#: Bits of the fingerprints that may differ, and the blocks of 16 bits.
-RADIUS, BLOCKS = 20, 4
-#: Bits of the shingle bitmap (2 MB, however many items there are) and items searched for in one pass over the documents.
-BITMAP_BITS, MOST_ITEMS = 1 << 24, 100_000
+#: Bits of the fingerprints that may differ (at a similarity of 0.8 they are 9.7 on average, with a deviation of 2.9), and
+#: the blocks of 16 bits.
+RADIUS, BLOCKS = 19, 4
+#: Bits of the shingle bitmap (2 MB, however many items there are); items, and bytes of their texts, searched for in one
+#: pass over the documents; entries of the index of such a set (of 6 bytes).
+BITMAP_BITS, MOST_ITEMS, MOST_BYTES, MOST_ENTRIES = 1 << 24, 50_000, 32 << 20, 1 << 23
+#: Pairs of a window and an index entry that are looked at together.
+PAIRS = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -63,6 +71,47 @@ def _packed(ones: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def flips(most: int, bits: int = 16) -> np.ndarray:
+    """All values of so many bits in which at most `most` are set."""
+    values = np.arange(1 << bits, dtype=np.uint32)
+    return values[np.bitwise_count(values) <= most].astype(np.uint16)
+
+
+class BlockIndex:
+    """Which of the fingerprints have a 16-bit block within `reach` bits of a given one's, block by block."""
+
+    def __init__(self, prints: np.ndarray, reach: int, own: int):
+        """own: of the reach, the bits by which a fingerprint's entries vary; windows vary by the others."""
+        near, self.masks, self.lists = flips(own), flips(reach - own), []
+        for block in self._blocks(prints):
+            values = (block[:, None] ^ near[None, :]).ravel()
+            order = np.argsort(values, kind="stable")
+            self.lists.append((values[order], (order // len(near)).astype(np.int32)))
+
+    @staticmethod
+    def _blocks(prints: np.ndarray) -> Iterator[np.ndarray]:
+        for b in range(BLOCKS):
+            yield ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+    def meets(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, fingerprint) places that meet in some block, some more than once, at most about PAIRS at a time."""
+        for block, (values, who) in zip(self._blocks(windows), self.lists, strict=True):
+            step = max(1, PAIRS // len(self.masks))
+            for i in range(0, len(block), step):
+                asked = (block[i : i + step, None] ^ self.masks[None, :]).ravel()
+                low = np.searchsorted(values, asked, "left")
+                n = np.searchsorted(values, asked, "right") - low
+                hit = np.nonzero(n)[0]
+                low, n, window = low[hit], n[hit], i + hit // len(self.masks)
+                ends = np.cumsum(n)
+                cuts = np.searchsorted(ends, np.arange(PAIRS, (ends[-1] if len(ends) else 0) + PAIRS, PAIRS), "right")
+                for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if len(ends) else ():
+                    if b > a:
+                        k = n[a:b]
+                        at = np.repeat(low[a:b] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                        yield np.repeat(window[a:b], k), who[at]
+
+
 def similarity(a: Counter, b: Counter) -> float:
     both = sum(min(n, b[x]) for x, n in a.items() if x in b)
     return both / (a.total() + b.total() - both)
@@ -92,21 +141,18 @@ class Items:
             self.by_length.setdefault(len(words), []).append((item, shingles(words)))
             prints.setdefault(len(words), []).append(_packed(_bits(h).sum(0, dtype=np.int64)[None], len(h)))
         self.prints = {n: np.concatenate(x) for n, x in prints.items()}
-        # The index: for each length and block, the values that its items have there, and which items have each.
-        self.index = {
-            n: [np.unique((p >> np.uint64(16 * b)) & np.uint64(0xFFFF), return_inverse=True) for b in range(BLOCKS)] for n, p in self.prints.items()
-        }
+        reach, all_items = RADIUS // BLOCKS, sum(map(len, self.prints.values()))
+        own = max((x for x in range(reach + 1) if all_items * BLOCKS * len(flips(x)) <= MOST_ENTRIES), default=0)
+        self.index = {n: BlockIndex(p, reach, own) for n, p in self.prints.items()}
 
     def candidates(self, length: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of each pair within RADIUS bits."""
-        prints = self.prints[length]
-        found = np.zeros((len(windows), len(prints)), bool)
-        for b, (values, which) in enumerate(self.index[length]):
-            block = (windows >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-            found |= (np.bitwise_count(block[:, None] ^ values[None, :]) <= RADIUS // BLOCKS)[:, which]
-        w, i = np.nonzero(found)
-        near = np.bitwise_count(windows[w] ^ prints[i]) <= RADIUS
-        return w[near], i[near]
+        """(window, item) of each pair within RADIUS bits, in order."""
+        prints, found = self.prints[length], [np.empty(0, np.int64)]
+        for w, i in self.index[length].meets(windows):
+            near = np.bitwise_count(windows[w] ^ prints[i]) <= RADIUS
+            found.append(np.unique(w[near] * len(prints) + i[near]))
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(prints), pairs % len(prints)
 
     def search(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): for each item its most similar window of a text, the first of those."""
@@ -144,6 +190,17 @@ class Items:
         return [(item, first, n, sim) for item, (_, first, n, sim) in best.items()]
 
 
+#: The index that a worker has built last, under the name of its set.
+_BUILT: dict[str, Items] = {}
+
+
+def _built(name: str, items: list[tuple[int, str]]) -> Items:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(items)
+    return _BUILT[name]
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS
 ) -> DataFrame:
@@ -152,20 +209,23 @@ def contaminated(
 
     Of items without words nothing is said, nor of null or empty texts; a null item id is a name like any other. Repeated
     rows of docs each come back, repeated items once. A text shorter than an item is one window. The items travel to the tasks in sets
-    of at most `most_items`, one pass over docs for each set. Other columns are ignored; empty tables give an empty one."""
+    of at most `most_items` and MOST_BYTES of text, one pass over docs for each set. Other columns are ignored; empty tables give an empty one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("length(trim(text)) > 0").distinct()
-    sets = -(-items.count() // (most_items // 2)) or 1  # dealt by hash: half full on average, so that none overflows
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # Dealt by hash; sets are half full on average, so that none overflows, unless by one very long item.
+    sets = max(1, -(-2 * n // most_items), -(-2 * size // MOST_BYTES)) if n > most_items or size > MOST_BYTES else 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     kinds, out = "id long, item_id long, first_word long, n_words long, similarity double", None
     for part in range(sets):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part) if sets > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.limit(most_items + 1).collect()])
-        if len(shared.value) > most_items:
-            raise ValueError(f"more than {most_items} items in one set")
+        own_n, own_size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        if own_n > 1 and (own_n > most_items or own_size > MOST_BYTES):
+            raise ValueError(f"a set of {own_n} items of {own_size} bytes: more than {most_items} or {MOST_BYTES}")
+        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.collect()])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _built(name, shared.value)
             for batch in batches:
                 found = [(i, *x) for i, t in enumerate(batch.column(1)) for x in index.search(t.as_buffer().to_pybytes() if t.is_valid else b"")]
                 row, *rest = zip(*found, strict=True) if found else ((),) * 5
