@@ -1,14 +1,15 @@
 """Toxicity by weak supervision.
 
-1. A lexicon: of the rows whose labels may be learnt from (a bounded sample of them), the words and word beginnings that
-   toxic texts have far more often than clean ones.
+1. A lexicon: of all rows whose labels may be learnt from, the words and word beginnings that toxic texts have far more
+   often than clean ones.
 2. Voters: each holds a share of the lexicon or a pattern of the text's form, and votes toxic, clean or not at all.
-3. A generative label model over all texts, labelled or not: expectation-maximisation, begun with the rows whose labels
-   may be learnt from, estimates how often each voter votes what when a text is toxic and when it is not; then how voters correlate beyond that, so that those that repeat
-   each other count less. It gives each text a posterior label.
+3. A generative label model over all texts, labelled or not: a vote depends on the label and on the vote of one other
+   voter, that with which it goes together most given the label (a tree of voters). Expectation-maximisation, begun with
+   the rows whose labels may be learnt from, estimates these probabilities, so accuracies and correlations in one: a voter
+   that repeats another adds little. It gives each text a posterior label.
 4. A linear classifier over the lexicon entries and patterns, fitted to the posterior labels, scores every text.
 
-Steps 2 and 3 read every text; each step of the expectation-maximisation adds up one vote pattern's rows at a time."""
+Steps 1 to 3 read every row; each step of the expectation-maximisation adds up one vote pattern's rows at a time."""
 
 from __future__ import annotations
 
@@ -25,24 +26,24 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled rows that the lexicon is taken from, and posterior-labelled rows that the classifier is fitted to, at most
-#: (on average: both are drawn by a hash of the id).
-LABELLED_ROWS, FITTED_ROWS = 40_000, 40_000
-#: Entries of the lexicon, the share of toxic rows (and the rows) that each must occur in, and how much likelier toxic
-#: rows must have it.
-ENTRIES, LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 300, 0.015, 4, 150.0
+#: Rows that the classifier is fitted to, about, at most: a sample, drawn in proportion to how often a pattern occurs.
+FITTED_ROWS = 40_000
+#: Entries of the lexicon (the classifier's size), the share of toxic rows, and the rows, that each must occur in, how much
+#: likelier toxic rows must have it, and what is added to the share of clean rows for that.
+ENTRIES, LEAST_SHARE, LEAST_ROWS, LEAST_ODDS, SMOOTHING = 300, 0.015, 4, 150.0, 3e-5
 #: Letters of the word beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: The best words, and the best beginnings, are voters of their own; the rest share voters, the worse the more.
 ALONE, SHARED = 16, 5
 WORD_VOTERS = BEGINNING_VOTERS = ALONE + SHARED
 STEPS = 12
-#: Voters correlated at least so much, given the label, repeat each other: k such voters count as one.
-REPEATS = 0.5
+#: Two voters go together where the label leaves so much mutual information (nats) between them.
+TOGETHER = 1e-4
 WORD = re.compile(r"[^\W\d_]+")
-FORMS = ("shouting", "exclaiming", "addressing", "symbols")
-# Words that address the reader.
-ADDRESS = frozenset("you your yours du dich dein tu te toi ton tú ti tus vous".split())
+FORMS = {"shouting": None, "exclaiming": re.compile("!!"), "drawn out": re.compile(r"([^\W\d_])\1{3}"), "masked": re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]")}
+CLEAN, TOXIC, NOTHING = 0, 1, 2
+#: Bits of the map of labelled ids (16 MB at most, by 2^15 in a row), by which texts stay that have no label.
+ID_BITS = 27
 
 
 @dataclass
@@ -74,16 +75,11 @@ def grams_of(words: set[str]) -> set[str]:
 
 
 def forms_of(text: str, words: list[str]) -> list[int]:
-    """What a text's form votes: 1 toxic, 0 clean, 2 nothing."""
+    """What a text's form votes."""
     if not words:
-        return [2] * len(FORMS)
+        return [NOTHING] * len(FORMS)
     shouted = sum(1 for w in words if len(w) > 2 and w.isupper())
-    return [
-        1 if 5 * shouted > len(words) else 2,
-        1 if "!!" in text else 2,
-        1 if not ADDRESS.isdisjoint(w.lower() for w in words) else 2,
-        1 if re.search(r"[@#$%&*]{3,}", text) else 2,
-    ]
+    return [TOXIC if (p.search(text) if p else 5 * shouted > len(words)) else NOTHING for p in FORMS.values()]
 
 
 class Reader:
@@ -116,110 +112,148 @@ class Reader:
 
 
 def mine(labelled: DataFrame) -> Lexicon:
-    """The entries that (text, toxic) rows tell toxic texts by, best first. Counts are added up where the rows lie."""
+    """The entries that (text, toxic) rows tell toxic texts by, best first: counted over all toxic rows, then, for what is
+    frequent enough there, over all clean ones. Counts are added up where the rows lie."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                rows = batch.slice(i, 100)
-                counts: dict[str, list[int]] = {}
-                for text, toxic in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    for g in grams_of({w.lower() for w in WORD.findall(text)}):
-                        counts.setdefault(g, [0, 0])[toxic] += 1
-                yield pa.RecordBatch.from_pydict({"gram": list(counts), "clean": [c for c, _ in counts.values()], "toxic": [t for _, t in counts.values()]})
-
-    sizes = labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r["toxic"]: r["n"] for r in sizes}
+    def counted(rows: DataFrame, only=None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 100):
+                    counts: Counter[str] = Counter()
+                    for text in batch.slice(i, 100).column(0).to_pylist():
+                        grams = grams_of({w.lower() for w in WORD.findall(text)})
+                        counts.update(grams if only is None else grams & only.value)
+                    yield pa.RecordBatch.from_pydict({"gram": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+        return rows.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon({})
-    grams = labelled.select("text", "toxic").mapInArrow(run, "gram string, clean long, toxic long")
-    grams = grams.groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = (F.col("toxic") / n[1]) / ((F.col("clean") + 0.1) / n[0])
-    best = grams.where(F.col("toxic") >= max(LEAST_ROWS, LEAST_SHARE * n[1])).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    best = best.withColumn("worth", F.col("toxic") * F.log("odds")).orderBy(F.desc("worth"), "gram").limit(ENTRIES)
-    return Lexicon({r["gram"]: i for i, r in enumerate(best.select("gram").collect())})
+    # Each is in at least LEAST_SHARE of the toxic rows: at most 1 / LEAST_SHARE times the grams of a text, on average.
+    often = {r["gram"]: r["n"] for r in counted(labelled.where("toxic = 1")).where(F.col("n") >= max(LEAST_ROWS, LEAST_SHARE * n[1])).collect()}
+    only = labelled.sparkSession.sparkContext.broadcast(frozenset(often))
+    clean = {r["gram"]: r["n"] for r in counted(labelled.where("toxic = 0"), only).collect()}
+    odds = {g: k / n[1] / (clean.get(g, 0) / n[0] + SMOOTHING) for g, k in often.items()}
+    best = sorted((-often[g] * math.log(x), g) for g, x in odds.items() if x >= LEAST_ODDS)
+    return Lexicon({g: i for i, (_, g) in enumerate(best[:ENTRIES])})
 
 
 @dataclass
 class LabelModel:
-    """P(vote | label) by voter, weights by voter, and the share of toxic texts."""
+    """P(vote | label, vote of the voter before), the voter before each (itself where none is), the share of toxic texts."""
 
-    table: np.ndarray  # voters x labels x votes (clean, toxic, none)
-    weight: np.ndarray
+    table: np.ndarray  # voters x labels x votes of the one before x votes
+    before: np.ndarray
     prior: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(toxic) of each row of votes."""
         logs = np.log(self.table)
-        odds = logs[:, 1] - logs[:, 0]
-        odds[:, 2] = 0  # that a voter says nothing tells nothing: how much of the lexicon a text holds is no evidence
-        total = (odds[np.arange(votes.shape[1]), votes] * self.weight).sum(1) + math.log(self.prior / (1 - self.prior))
+        odds = logs[:, TOXIC] - logs[:, CLEAN]
+        odds[:, :, NOTHING] = 0  # that a voter says nothing tells nothing: how much of the lexicon a text holds is no evidence
+        total = odds[np.arange(votes.shape[1]), votes[:, self.before], votes].sum(1) + math.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
-def fit_label_model(patterns: DataFrame, known: np.ndarray, prior: float, steps: int = STEPS) -> LabelModel:
-    """From (votes, n) rows: how often each pattern of votes occurs. Every step passes over all of them where they lie.
-
-    known: labels x voters x votes, counts of the rows with labels; the estimation begins with them, and they stay a part
-    of each estimate, so that it does not drift to another division of the texts."""
-    voters = known.shape[1]
-    table = np.moveaxis(known, 0, 1) + 0.5
-    model = LabelModel(table / table.sum(2, keepdims=True), np.ones(voters), prior)
-
-    def added(model: LabelModel, of: str) -> np.ndarray:
-        """Expected counts: of each vote of each voter (`one`), or of two voters voting toxic together (`two`), by label."""
-        size = voters * 3 if of == "one" else voters * voters
+def conditional(counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """From counts (voters x labels x votes before x votes) the probabilities of a vote. Without a voter before, all its
+    votes are one case. Few cases lean on what the voter votes whatever the other does."""
+    alone = counts.sum(2, keepdims=True) + 0.5
+    alone /= alone.sum(3, keepdims=True)
+    free = (before == np.arange(len(before)))[:, None, None, None]
+    table = counts + 2 * alone
+    return np.where(free, alone, table / table.sum(3, keepdims=True))
+
+
+def tree(ones: np.ndarray, pairs: np.ndarray, totals: np.ndarray, apart: tuple[int, ...] = ()) -> np.ndarray:
+    """The voter before each: the spanning forest of the greatest mutual information, given the label, between voters'
+    speaking at all. ones: labels x voters, pairs: labels x voters x voters, how many spoke; totals: by label. Voters
+    `apart` stand alone."""
+    voters, info = ones.shape[1], 0.0
+    for label in (CLEAN, TOXIC):
+        n, both = max(totals[label], 1e-9), pairs[label]
+        a, b = ones[label][:, None], ones[label][None, :]
+        for k, x, y in ((both, a, b), (a - both, a, n - b), (b - both, n - a, b), (n - a - b + both, n - a, n - b)):
+            k, x, y = (np.maximum(z, 1e-9) for z in (k, x, y))
+            info = info + k / max(totals.sum(), 1e-9) * (np.log(k) + math.log(n) - np.log(x) - np.log(y))
+    np.fill_diagonal(info, 0)
+    info[list(apart)] = info[:, list(apart)] = 0
+    before, inside = np.arange(voters), np.zeros(voters, bool)
+    for _ in range(voters):
+        reach = np.where(inside[:, None] & ~inside[None, :], info, 0)
+        a, b = np.unravel_index(int(reach.argmax()), reach.shape)
+        if reach[a, b] < TOGETHER:  # nothing hangs on what is in: another tree begins
+            b = int(np.argmin(inside))
+            a = b
+        before[b], inside[b] = a, True
+    return before
+
+
+def fit_label_model(patterns: DataFrame, voters: int, prior: float, steps: int = STEPS) -> LabelModel:
+    """From (votes, n, clean, toxic) rows: how often each pattern of votes occurs, and how often with either label. Every
+    step passes over all of them where they lie. The estimation begins with the labelled rows, and they stay a part of
+    each estimate, so that it does not drift to another division of the texts."""
+
+    def weights(model: LabelModel | None, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        votes = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint8).reshape(-1, voters)
+        n, *known = (rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (1, 2, 3))
+        toxic = model.posterior(votes) if model else 0.0
+        return votes, np.stack(known) + (np.stack([(1 - toxic) * n, toxic * n]) if model else 0.0)
+
+    def added(size: int, of) -> np.ndarray:
+        """Sums over all rows of what `of` adds to an array of so many numbers."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, size))
+            total = np.zeros(size)
             for batch in batches:
                 for i in range(0, batch.num_rows, 2000):
-                    rows = batch.slice(i, 2000)
-                    votes = np.frombuffer(b"".join(rows.column(0).to_pylist()), np.uint8).reshape(-1, voters)
-                    n = rows.column(1).to_numpy(zero_copy_only=False)
-                    toxic = model.posterior(votes)
-                    said = (votes == 1).astype(float) if of == "two" else np.equal.outer(votes, np.arange(3)).reshape(len(votes), -1).astype(float)
-                    for label, p in enumerate((1 - toxic, toxic)):
-                        weighted = said * (n * p)[:, None]
-                        total[label] += (said.T @ weighted).ravel() if of == "two" else weighted.sum(0)
-            at = np.nonzero(total.ravel())[0]
-            yield pa.RecordBatch.from_pydict({of: at, "n": total.ravel()[at]})
-
-        # From each task at most a row for each count; what they add up to is of a size that only the voters set.
-        sums = patterns.mapInArrow(run, f"{of} long, n double").groupBy(of).agg(F.sum("n").alias("n")).collect()
-        out = np.zeros(2 * size)
-        for r in sums:
-            out[r[of]] = r["n"]
-        return out.reshape(2, -1)
+                    total += of(batch.slice(i, 2000))
+            at = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_pydict({"at": at, "n": total[at]})
+
+        out = np.zeros(size)
+        # From each task at most a row for each number; what they add up to is of a size that only the voters set.
+        for r in patterns.select("votes", "n", "clean", "toxic").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out
+
+    def cases(model: LabelModel | None, before: np.ndarray) -> np.ndarray:
+        def of(rows: pa.RecordBatch) -> np.ndarray:
+            votes, weight = weights(model, rows)
+            at = (np.arange(voters) * 18 + votes[:, before] * 3 + votes).astype(np.int64)
+            return sum(np.bincount((at + 9 * label).ravel(), np.repeat(weight[label], voters), voters * 18) for label in (CLEAN, TOXIC))
+
+        return added(voters * 18, of).reshape(voters, 2, 3, 3)
+
+    def estimated(model: LabelModel | None, before: np.ndarray) -> LabelModel:
+        return LabelModel(conditional(cases(model, before), before), before, prior)
 
+    def together(rows: pa.RecordBatch) -> np.ndarray:
+        votes, weight = weights(model, rows)
+        said = (votes != NOTHING).astype(float)
+        return np.concatenate([*((said.T @ (said * w[:, None])).ravel() for w in weight), weight.sum(1)])
+
+    alone = np.arange(voters)
+    model = estimated(estimated(None, alone), alone)
+    sums = added(2 * voters * voters + 2, together)
+    pairs = sums[:-2].reshape(2, voters, voters)
+    before = tree(np.stack([np.diag(p) for p in pairs]), pairs, sums[-2:], apart=(voters - 1,))  # the last speaks where the best say nothing
+    model = LabelModel(conditional(cases(model, before), before), before, prior)
     for _ in range(steps):
-        counts = added(model, "one").reshape(2, voters, 3) + known
-        table = np.moveaxis(counts, 0, 1) + 0.5
-        table /= table.sum(2, keepdims=True)
-        change = float(np.abs(table - model.table).max())
-        model = LabelModel(table, model.weight, prior)
-        if change < 1e-4:
+        last, model = model, estimated(model, before)
+        if float(np.abs(model.table - last.table).max()) < 1e-4:
             break
-    n, pairs = added(model, "one").reshape(2, voters, 3).sum(2).mean(1), added(model, "two").reshape(2, voters, voters)
-    # Correlation of two voters' toxic votes among texts of one label, beyond what the label explains.
-    weight = np.zeros((voters, voters))
-    for label in (0, 1):
-        both = pairs[label] / max(n[label], 1e-9)
-        p = np.diag(both)
-        sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-        weight += np.clip((both - np.outer(p, p)) / np.outer(sd, sd), 0, 1) / 2
-    np.fill_diagonal(weight, 0)
-    weight[weight < REPEATS] = 0
-    return LabelModel(model.table, 1 / (1 + weight.sum(1)), prior)
-
-
-def fit_linear(features: list[list[int]], target: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression of the posterior labels on which features a text has; rows that agree in both are one."""
+    return model
+
+
+def fit_linear(features: list[list[int]], target: np.ndarray, weight: np.ndarray, size: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression of the posterior labels on which features a text has; rows that agree in those are one."""
     merged: dict[tuple, list[float]] = {}
-    for x, y in zip(features, target.tolist(), strict=True):
+    for x, y, k in zip(features, target.tolist(), weight.tolist(), strict=True):
         entry = merged.setdefault(tuple(x), [0.0, 0.0])
-        entry[0] += 1
-        entry[1] += y
+        entry[0] += k
+        entry[1] += k * y
     keys = list(merged)
     n, y = np.array([merged[k][0] for k in keys]), np.array([merged[k][1] / merged[k][0] for k in keys])
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
@@ -252,10 +286,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = written(known.where(~held_out), "labels")
     size, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     prior = min(max((toxic or 0) / size, 1e-4), 1 - 1e-4) if size else 0.5
-    deal = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    sample = known.where(deal < math.ceil(1e6 * min(1, LABELLED_ROWS / size)) if size else F.lit(False))
-    # The sample's ids go to the texts (LABELLED_ROWS of them, by the hash); no text moves.
-    lexicon = mine(rows.where(~F.col("held_out")).join(F.broadcast(sample), "id").select("text", "toxic"))
+    # The ids' map goes to the texts, so that of those without a label only few move; the join decides.
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
+    maps = known.select(F.shiftright(place, 15).alias("_of"), place.bitwiseAND(32767).alias("_at")).groupBy("_of").agg(F.call_function("bitmap_construct_agg", "_at").alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(place.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    maybe = rows.where(~F.col("held_out") & F.col("id").isNotNull()).join(F.broadcast(maps), F.shiftright(place, 15) == F.col("_of"))
+    maybe = maybe.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(7).cast("int"))) != 0).select("id", "text")
+    lexicon = mine(written(maybe.join(known, "id").select("text", "toxic"), "labelled"))
     reader = Reader(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,19 +302,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(columns, [*own, "votes", "features"])
 
     seen = written(rows.mapInArrow(read, f"id long, {'key long, ' if key_col else ''}held_out boolean, votes binary, features array<int>"), "votes")
-    patterns = written(seen.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns")
-    told = np.zeros((2, reader.voters, 3))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("votes")), lambda i: F.substring(F.hex("votes"), 2 * i, F.lit(1)).cast("int")))
-    for r in seen.join(known, "id").select("toxic", at.alias("voter", "vote")).groupBy("toxic", "voter", "vote").agg(F.count(F.lit(1)).alias("n")).collect():
-        told[r["toxic"], r["voter"], r["vote"]] = r["n"]
-    model = fit_label_model(patterns, told, prior)
-
-    n = seen.count()
-    fitted = seen.where(F.pmod(F.xxhash64("id", "votes"), F.lit(1_000_000)) < math.ceil(1e6 * min(1, FITTED_ROWS / n)) if n else F.lit(False))
-    fitted = fitted.select("votes", "features").collect()
-    if fitted:
-        votes = np.frombuffer(b"".join(bytes(r["votes"]) for r in fitted), np.uint8).reshape(-1, reader.voters)
-        w, b = fit_linear([r["features"] for r in fitted], model.posterior(votes), reader.features)
+    # Labels join what is left of rows that agree in id and votes; rows without an id have none.
+    by_id = seen.groupBy("id", "votes").agg(F.count(F.lit(1)).alias("n"))
+    told = by_id.where("id IS NOT NULL").join(known, "id", "left").unionByName(by_id.where("id IS NULL").withColumn("toxic", F.lit(None).cast("int")))
+    count = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("n")).otherwise(0)).cast("double")
+    patterns = written(told.groupBy("votes").agg(F.sum("n").cast("double").alias("n"), count(0).alias("clean"), count(1).alias("toxic")), "patterns")
+    model = fit_label_model(patterns, reader.voters, prior)
+
+    # The more often a pattern occurs the likelier it is drawn; what is drawn stands for as many rows as it should.
+    kinds = written(seen.groupBy("votes", "features").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    n = kinds.agg(F.sum("n")).first()[0]
+    drawn = kinds.where(F.pmod(F.xxhash64("votes", "features"), F.lit(1_000_000)) < 1e6 * FITTED_ROWS * F.col("n") / n).collect() if n else []
+    if drawn:
+        votes = np.frombuffer(b"".join(bytes(r["votes"]) for r in drawn), np.uint8).reshape(-1, reader.voters)
+        w, b = fit_linear([r["features"] for r in drawn], model.posterior(votes), np.array([max(r["n"], n / FITTED_ROWS) for r in drawn], float), reader.features)
     else:
         w, b = np.zeros(reader.features), 0.0
     if not lexicon.entries:
