@@ -42,8 +42,8 @@ TOGETHER = 1e-4
 WORD = re.compile(r"[^\W\d_]+")
 FORMS = {"shouting": None, "exclaiming": re.compile("!!"), "drawn out": re.compile(r"([^\W\d_])\1{3}"), "masked": re.compile(r"[^\W\d_][*@#$%]+[^\W\d_]")}
 CLEAN, TOXIC, NOTHING = 0, 1, 2
-#: Bits of the map of labelled ids (16 MB at most, by 2^15 in a row), by which texts stay that have no label.
-ID_BITS = 27
+#: Bits of the map of labelled ids (8 MB at most, by 2^15 in a row), by which texts stay that have no label.
+ID_BITS = 26
 
 
 @dataclass
@@ -292,7 +292,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     byte = F.conv(F.hex(F.substring("_map", F.shiftright(place.bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     maybe = rows.where(~F.col("held_out") & F.col("id").isNotNull()).join(F.broadcast(maps), F.shiftright(place, 15) == F.col("_of"))
     maybe = maybe.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(7).cast("int"))) != 0).select("id", "text")
-    lexicon = mine(written(maybe.join(known, "id").select("text", "toxic"), "labelled"))
+    # Merged at every size: what labels there are has no bound.
+    lexicon = mine(written(maybe.join(known.hint("merge"), "id").select("text", "toxic"), "labelled"))
     reader = Reader(lexicon)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
