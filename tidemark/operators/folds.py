@@ -7,37 +7,42 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 EPS = 1e-9
 
 
+_ARROW = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
 def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:
-    """A row for each row of df: key, order and the state after it (the columns of schema). Rows without a key are one."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    """A row for each row of df: key, order and the state after it (the columns of schema). Rows without a key are one
+    key's. Keys and values reach the steps as they are: nulls as None, integers whole."""
+    fields = [c.strip().split(" ") for c in schema.split(",")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     out = f"{key} {kinds[key]}, " + ", ".join(f"{c} {kinds[c]}" for c in order) + f", {schema}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, begun = None, start(), False
-        for rows in batches:
-            found = []
-            for row in rows.to_dict("records"):
+        for batch in batches:
+            states = []
+            for row in batch.to_pylist():
                 if not begun or row[key] != at:
                     at, state, begun = row[key], start(), True
                 state = step(state, row)
-                found.append([row[key], *(row[c] for c in order), *(state[n] for n in names)])
-            yield pd.DataFrame(found, columns=[key, *order, *names])
+                states.append(state)
+            told = [pa.array([s[name] for s in states], _ARROW[kind]) for name, kind in fields]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(batch.column(c) for c in order), *told], [key, *order, *(name for name, _ in fields)])
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
 def position_step(state: dict, row: dict) -> dict:
     """Position accounting: a trade opens, adds (average cost by weight), closes in part or whole, or flips."""
     net, cost, realized = state["net"], state["cost"], state["realized"]
     delta, price = row["delta"], row["price"]
-    if abs(delta) < EPS:
+    if delta is None or price is None or abs(delta) < EPS:
         return state
     if abs(net) < EPS or net * delta > 0:
         total = net + delta

@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Right sides of a block beyond this many are cut to those with the best weights, as the exact search doubles with each.
-MOST_RIGHT = 14
 PER_EVENT, PER_SPORT = 3, 5
 
 
 def best_matching(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """The one-to-one choice of (left, right, weight) edges of the greatest total weight, over subsets of the rights."""
+    """The one-to-one choice of (left, right, weight) edges of the greatest total weight; edges that add nothing are left
+    out. Shortest augmenting paths with potentials: polynomial, n lefts and m rights take n n m steps at most."""
     best: dict[tuple[int, int], float] = {}
     for a, b, w in edges:
         best[a, b] = max(w, best.get((a, b), w))
     lefts, rights = sorted({a for a, _ in best}), sorted({b for _, b in best})
-
-    @lru_cache(None)
-    def solve(i: int, used: int) -> tuple[float, tuple]:
-        if i == len(lefts):
-            return 0.0, ()
-        top = solve(i + 1, used)
-        for r, right in enumerate(rights):
-            if not used >> r & 1 and (w := best.get((lefts[i], right))) is not None:
-                total, rest = solve(i + 1, used | 1 << r)
-                if total + w > top[0]:
-                    top = (total + w, ((lefts[i], right, w), *rest))
-        return top
-
-    return list(solve(0, 0)[1])
-
-
-def match_blocks(edges: DataFrame) -> DataFrame:
-    """(block, left_id, right_id, weight) of the best matching of each block. edges has those columns; of a block's rights
-    the MOST_RIGHT with the best weights take part, and of the edges of each of those the MOST_RIGHT best: more lefts than
-    rights can never be matched, so a right needs no more candidates, and a block's edges stay bounded."""
-    by_right = edges.groupBy("block", "right_id").agg(F.max("weight").alias("best"))
-    kept = by_right.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("best"), "right_id"))).where(F.col("n") <= MOST_RIGHT)
-    near = edges.join(kept.select("block", "right_id"), ["block", "right_id"])
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("block", "right_id").orderBy(F.desc("weight"), "left_id"))).where(F.col("n") <= MOST_RIGHT)
+    row, col = {a: i for i, a in enumerate(lefts)}, {b: j for j, b in enumerate(rights)}
+    turned = len(lefts) > len(rights)
+    gain = np.zeros((len(lefts), len(rights)))
+    for (a, b), w in best.items():
+        gain[row[a], col[b]] = max(w, 0.0)
+    cost = -(gain.T if turned else gain)
+    n, m = cost.shape
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for i in range(n):
+        least, came, seen = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, j = i, -1
+        path_u = [i]
+        while True:
+            slack = cost[at] - u[at] - v
+            better = ~seen & (slack < least)
+            least[better], came[better] = slack[better], j
+            free = np.where(seen, np.inf, least)
+            nxt = int(free.argmin())
+            step = free[nxt]
+            u[path_u] += step
+            v[seen] -= step
+            least[~seen] -= step
+            seen[nxt], j = True, nxt
+            if owner[j] < 0:
+                break
+            at = int(owner[j])
+            path_u.append(at)
+        while j >= 0:  # back along the path, each right passes to the left before
+            before = int(came[j])
+            owner[j] = i if before < 0 else owner[before]
+            j = before
+    pairs = [(j, int(i)) if turned else (int(i), j) for j, i in enumerate(owner) if i >= 0]
+    chosen = [(lefts[i], rights[j]) for i, j in pairs]
+    return sorted((a, b, best[a, b]) for a, b in chosen if best.get((a, b), 0.0) > 0)
+
+
+def match_blocks(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(block, left_id, right_id, weight) of the best matching of each block. edges has those columns.
+
+    A block is matched whole in one task, exactly; with `most`, of a block's rights the `most` with the best weights take
+    part, and of the edges of each of those the `most` best, which bounds a task and may give up the best total."""
+    near = edges
+    if most:
+        by_right = edges.groupBy("block", "right_id").agg(F.max("weight").alias("best"))
+        kept = by_right.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("best"), "right_id"))).where(F.col("n") <= most)
+        near = edges.join(kept.select("block", "right_id"), ["block", "right_id"])
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("block", "right_id").orderBy(F.desc("weight"), "left_id"))).where(F.col("n") <= most)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = best_matching(list(zip(rows["left_id"].tolist(), rows["right_id"].tolist(), rows["weight"].tolist(), strict=True)))
@@ -57,8 +78,8 @@ def diversified(rows: DataFrame, target: int, per_event: int = PER_EVENT, per_sp
     """The first `target` rows by (score desc, ticker) with a score above 0, at most so many of an event and a sport; a row
     that is passed over uses no place. rows: ticker, event, sport, score.
 
-    Only rows that can still be chosen reach the one task that goes through them in order: the first per_event of each
-    event, of those the first per_event * per_sport of each sport, and the first target * per_event * per_sport of all."""
+    Only rows that can still be chosen reach the one task that goes through them in order: of each event and sport the
+    first per_event, and of those of each sport the first per_sport * target."""
     rows = rows.where(F.col("score") > 0).select("ticker", F.coalesce("event", "ticker").alias("event"), F.coalesce("sport", F.lit("none")).alias("sport"), "score")
     order = (F.desc("score"), F.col("ticker"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("event", "sport").orderBy(*order))).where(F.col("n") <= per_event)

@@ -39,10 +39,10 @@ TABLES: dict[str, tuple[Text, tuple[str, ...]]] = {
     "links": (
         lambda d: f"""SELECT p_partkey * 4 + v AS link_id, CAST(floor(p_partkey / 3) AS BIGINT) AS family_id, p_partkey AS market_id, 1 + p_partkey % 2 AS provider_id, v AS link_version,
         CASE WHEN v = 3 AND p_partkey % 4 = 1 THEN 'removed' WHEN p_partkey % 9 = 0 THEN 'inactive' ELSE 'active' END AS status,
-        CASE (p_partkey + v) % 4 WHEN 0 THEN 'identical' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'proxy' ELSE 'correlated' END AS relationship_type,
+        CASE (CAST(floor(p_partkey / 3) AS BIGINT) + v) % 4 WHEN 0 THEN 'identical' WHEN 1 THEN 'equivalent' WHEN 2 THEN 'proxy' ELSE 'correlated' END AS relationship_type,
         CAST(p_partkey % 89 AS DOUBLE) / 100 + 0.1 AS confidence, CASE p_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'review' ELSE 'seed' END AS link_source,
         1700000000000000 + p_partkey * 60000000 AS created_us
-        FROM {d.table("part")} CROSS JOIN {d.span("1", "3", "v")} AS n WHERE v <= 1 + p_partkey % 3""",
+        FROM {d.table("part")} CROSS JOIN {d.span("1", "3", "v")} AS n WHERE v <= 1 + p_partkey % 3 AND p_partkey % 10 <> 7""",
         ("part",),
     ),
     "current_links": (
@@ -61,7 +61,7 @@ TABLES: dict[str, tuple[Text, tuple[str, ...]]] = {
         (),
     ),
     "proposals": (
-        lambda d: f"""SELECT p_partkey AS proposal_id, p_partkey AS market_a, p_partkey + 1 AS market_b, CAST((p_partkey * 37) % 100 AS DOUBLE) / 100 AS confidence,
+        lambda d: f"""SELECT p_partkey AS proposal_id, p_partkey AS market_a, p_partkey + CASE WHEN p_partkey % 5 = 2 THEN 3 ELSE 1 END AS market_b, CAST((p_partkey * 37) % 100 AS DOUBLE) / 100 AS confidence,
         CASE p_partkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN NULL ELSE 'skipped' END AS decision,
         CASE WHEN p_partkey % 3 = 0 THEN 'proxy' ELSE 'equivalent' END AS proposed_type, p_brand AS category,
         1700000000000000 + p_partkey * 90000000 AS created_us, 1700000000000000 + p_partkey * 95000000 AS reviewed_us,
@@ -70,7 +70,7 @@ TABLES: dict[str, tuple[Text, tuple[str, ...]]] = {
     ),
     "slots": (
         lambda d: """SELECT market_id, CAST(floor(market_id / 2) AS BIGINT) AS slot_id, provider_id, template, category, CASE WHEN market_id % 7 = 0 THEN 'tie ends' ELSE title END AS title,
-        CAST(market_id % 100 AS DOUBLE) / 100 AS confidence FROM markets""",
+        CAST(market_id % 100 AS DOUBLE) / 100 AS confidence FROM markets WHERE market_id % 11 <> 4""",
         (),
     ),
     "mm_orders": (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
@@ -116,12 +117,12 @@ SELECT coalesce(s.market_id, m.market_id) AS market_id, CASE WHEN m.market_id IS
 
 def links_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed links that no current link has: insert unless there."""
-    target = domain(spark, sf_dir, "current_links").where("status = 'active' AND link_version = 2").select("market_id")
+    target = domain(spark, sf_dir, "current_links").where("status = 'active'").select("market_id")
     source = domain(spark, sf_dir, "proposals").where("decision = 'accepted'").select(F.col("market_a").alias("market_id"), "confidence")
     return insert_new(target, source, ["market_id"])
 
 
-LINKS_INSERT = "SELECT p.market_a AS market_id, p.confidence FROM proposals p WHERE p.decision = 'accepted' AND NOT EXISTS (SELECT 1 FROM current_links l WHERE l.market_id = p.market_a AND l.status = 'active' AND l.link_version = 2)"
+LINKS_INSERT = "SELECT p.market_a AS market_id, p.confidence FROM proposals p WHERE p.decision = 'accepted' AND NOT EXISTS (SELECT 1 FROM current_links l WHERE l.market_id = p.market_a AND l.status = 'active')"
 
 
 def latest_mids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +148,10 @@ SELECT market_id, event_id, score::DOUBLE AS score FROM (SELECT *, row_number()
 
 
 def position_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The position of each market after each fill."""
-    f = domain(spark, sf_dir, "mm_fills")
-    f = f.select("market_id", "observed_us", "fill_id", money.yes_delta(F.col("side"), F.col("size")).alias("delta"), F.col("price_cents").cast("double").alias("price"))
-    p = positions(f)
-    return p.select("market_id", "fill_id", F.round("net", 6).alias("net"))
+    """The net position of each market after each fill: a running sum needs no fold."""
+    so_far = Window.partitionBy("market_id").orderBy("observed_us", "fill_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    net = F.sum(money.yes_delta(F.col("side"), F.col("size"))).over(so_far)
+    return domain(spark, sf_dir, "mm_fills").select("market_id", "fill_id", F.round(net, 6).alias("net"))
 
 
 POSITION_REPLAY = "SELECT market_id, fill_id, round(sum(CASE WHEN side IN ('yes_buy', 'no_sell') THEN size ELSE -size END) OVER (PARTITION BY market_id ORDER BY observed_us, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS net FROM mm_fills"

@@ -117,16 +117,33 @@ def flow(trades: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     ).select("market", F.col("window.start").alias("bucket"), "buys", "sells", "usdc")
 
 
+#: Steps back that a fork may be long: 2^20.
+FORK_ROUNDS = 20
+
+
 def dropped_blocks(spark: SparkSession, headers: DataFrame, old_tip: str, new_tip: str) -> DataFrame:
     """The blocks of the old chain after its last common ancestor with the new one. headers: number, hash, parent.
 
-    Raises where the chains have none."""
-    headers.createOrReplaceTempView("_headers")
-    walk = "WITH RECURSIVE chain(number, hash, parent) AS (SELECT number, hash, parent FROM _headers WHERE hash = '{}' UNION ALL SELECT h.number, h.hash, h.parent FROM _headers h JOIN chain c ON h.hash = c.parent) SELECT * FROM chain"
-    old, new = spark.sql(walk.format(old_tip)), spark.sql(walk.format(new_tip))
-    if not old.join(new, "hash", "left_semi").take(1):
-        raise ValueError("the chains have no common ancestor")
-    return old.join(new, "hash", "left_anti")
+    Both chains are walked back at once, 1, 2, 4, ... blocks a round, until they meet: the rounds grow with the logarithm of
+    the fork's length. Each round's steps are checkpointed. Raises where the chains do not meet within 2^FORK_ROUNDS."""
+    blocks = headers.select("number", "hash", "parent").dropDuplicates(["hash"])
+    known = blocks.select("hash")
+    jump = blocks.join(known.withColumnRenamed("hash", "parent"), "parent").select("hash", F.col("parent").alias("to")).checkpoint()
+    chain = known.where(F.col("hash").isin(old_tip, new_tip)).select("hash", (F.col("hash") == old_tip).alias("old"), (F.col("hash") == new_tip).alias("new")).checkpoint()
+    for _ in range(FORK_ROUNDS + 1):
+        if chain.where("old AND new").take(1):
+            break
+        before = chain.count()
+        stepped = chain.join(jump, "hash").select(F.col("to").alias("hash"), "old", "new")
+        chain = chain.unionByName(stepped).groupBy("hash").agg(F.bool_or("old").alias("old"), F.bool_or("new").alias("new")).checkpoint()
+        if chain.count() == before and not chain.where("old AND new").take(1):
+            raise ValueError("the chains have no common ancestor")
+        jump = jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.hash")).select("a.hash", "b.to").checkpoint()
+    else:
+        raise ValueError(f"the chains do not meet within {2**FORK_ROUNDS} blocks")
+    chain = chain.join(blocks, "hash")
+    ancestor = chain.where("old AND new").agg(F.max("number").alias("ancestor"))
+    return chain.where("old").crossJoin(F.broadcast(ancestor)).where("number > ancestor").select("number", "hash", "parent")  # one row
 
 
 def orphan_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
