@@ -22,9 +22,10 @@ BITS = 64
 
 
 def sign_code(vector: str) -> Column:
-    """The 64-bit code of a vector of 64 numbers: bit i is 1 where number i is above 0. Null for a vector of another length
-    or with a null in it."""
-    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).when(x <= 0, F.lit(0).cast("long")).when(F.isnan(x), F.lit(0).cast("long"))
+    """The 64-bit code of a vector of 64 numbers: bit i is 1 where number i is above 0, which NaN is not. Null for a vector
+    of another length or with a null in it."""
+    # Spark orders NaN above all numbers; here it is none, and not above 0.
+    bit = lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).when(x.isNotNull(), F.lit(0).cast("long"))
     bits = F.transform(F.col(vector).cast("array<double>"), bit)
     return F.when(F.size(vector) == BITS, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
@@ -79,7 +80,9 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int
     for r in range(longest + 1):
         probes = open_.withColumn("code", F.col("query")).select("query_id", "query", "bound", _values(m).alias("s")).select("query_id", "query", "bound", "s.*")
         if r:
-            probes = _flipped(probes, r, m)
+            # Dealt before they multiply: few open queries have many flips.
+            n_tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            probes = _flipped(probes.repartition(n_tasks, "query_id", "query", "segment"), r, m)
         # A code that is farther than the kth so far is left out where it is met.
         p, x, apart = probes.alias("p"), index.alias("x"), F.bit_count(F.col("p.query").bitwiseXOR(F.col("x.code")))
         hit = (F.col("p.segment") == F.col("x.segment")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("p.bound"))

@@ -6,7 +6,9 @@ several chunks becomes a segmented record (one first segment, then `continuation
 them), so that reading an archive needs memory for a segment, not for a record.
 
 Archives are written by Spark's text writer, one row for each record or segment, and read by its text reader with the
-start of the next record as the line separator, so they can be split and lie wherever Spark reaches."""
+start of the next record as the line separator, so they lie wherever Spark reaches. Readers split archives written with
+compression "none" or "bzip2"; one written with gzip, the usual form, is read by one task, so its writer's partition
+sets that task's size."""
 
 from __future__ import annotations
 
