@@ -86,7 +86,8 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segments: int
         # A code that is farther than the kth so far is left out where it is met.
         p, x, apart = probes.alias("p"), index.alias("x"), F.bit_count(F.col("p.query").bitwiseXOR(F.col("x.code")))
         hit = (F.col("p.segment") == F.col("x.segment")) & (F.col("p.value") == F.col("x.value")) & (apart <= F.col("p.bound"))
-        near = p.join(x, hit).select("query_id", "query", "code").distinct()
+        # Merged: probes are made after the planner has seen their size, so they must never be broadcast.
+        near = p.join(x.hint("merge"), hit).select("query_id", "query", "code").distinct()
         near = near.join(held, "code").select("query_id", "query", "id", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         near = near if found is None else near.unionByName(found.join(open_, ["query_id", "query"], "left_semi")).distinct()
         found = written(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "found")
