@@ -74,4 +74,6 @@ QUERIES: dict[str, Text] = {
     "snapshot_retention": lambda d: f"SELECT count(*) AS kept, min(observed_us) AS oldest FROM snapshots WHERE observed_us >= (SELECT max(observed_us) FROM snapshots) - 30 * {DAY_US}",
     "sample_by_hash": lambda d: "SELECT market_id, md5(concat(market_id, ':seed7')) AS h FROM markets ORDER BY md5(concat(market_id, ':seed7')), market_id LIMIT 200",
     "vocabulary_nulls": lambda d: "SELECT category, coalesce(template, 'none') AS template, count(*) AS n, min(market_id) AS sample_id, round(count(*) FILTER (WHERE template IS NOT NULL) / CAST(count(*) AS DOUBLE), 4) AS rate FROM markets GROUP BY 1, 2",
+    "topic_health": lambda d: "SELECT p.provider, m.category, coalesce(m.sport, 'none') AS subject, count(DISTINCT m.event_ref) AS events, count(*) AS markets FROM markets m JOIN providers p ON p.provider_id = m.provider_id GROUP BY 1, 2, 3",
+    "stale_share": lambda d: f"WITH l AS (SELECT market_id, max(observed_us) AS last_us FROM depth GROUP BY market_id), n AS (SELECT max(last_us) AS now_us FROM l) SELECT count(*) AS markets, count(*) FILTER (WHERE now_us - last_us > {HOUR_US}) AS stale, round(count(*) FILTER (WHERE now_us - last_us > {HOUR_US}) / CAST(count(*) AS DOUBLE), 6) AS share, count(*) FILTER (WHERE now_us - last_us > {HOUR_US}) * 2 > count(*) AS alarm FROM l CROSS JOIN n",
 }

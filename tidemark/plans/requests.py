@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import refs, text
+from ..functions import instruments, money, refs, text
 from ..operators.asof import asof_last
 from ..operators.candidates import best_in_bucket, capped, first_by_key, within_share
+from ..operators.folds import positions
 from .domain import domain
 
 NOW_US = 1_705_000_000_000_000
@@ -100,6 +101,43 @@ m AS (SELECT market_id, observed_us, arg_max(mid_cents, depth_id) AS mid FROM de
 SELECT d.fill_id, d.horizon, CASE WHEN d.due_us <= {NOW_US} THEN m.mid END AS mid, CASE WHEN d.due_us > {NOW_US} THEN 'too_young' WHEN m.mid IS NULL THEN 'depth_missing' ELSE 'present' END AS state
 FROM d ASOF LEFT JOIN m ON m.market_id = d.market_id AND m.observed_us <= d.due_us"""
 
+
+def sampled_mids(spark: SparkSession, sf_dir: str, *, step_us: int = refs.UNITS["d"]) -> DataFrame:
+    """The mid of each market at every step from its first to its last reading, the last known carried forward."""
+    depth = domain(spark, sf_dir, "depth").where("mid_cents IS NOT NULL")
+    spans = depth.groupBy("market_id").agg(F.ceil(F.min("observed_us") / step_us).alias("a"), F.floor(F.max("observed_us") / step_us).alias("b")).where("a <= b")
+    grid = spans.select("market_id", F.explode(F.sequence("a", "b")).alias("at")).select("market_id", (F.col("at") * step_us).alias("at_us"))
+    return asof_last(grid, depth, "market_id", "at_us", "observed_us", "mid_cents", 8 * step_us, "mid", "depth_id")
+
+
+SAMPLED = f"""WITH d AS (SELECT market_id, observed_us, arg_max(mid_cents, depth_id) AS mid FROM depth WHERE mid_cents IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT market_id, ceil(min(observed_us) / {refs.UNITS["d"]})::BIGINT AS a, floor(max(observed_us) / {refs.UNITS["d"]})::BIGINT AS b FROM d GROUP BY 1),
+g AS (SELECT market_id, unnest(generate_series(a, b)) * {refs.UNITS["d"]} AS at_us FROM s)
+SELECT g.market_id, g.at_us, d.mid FROM g ASOF LEFT JOIN d ON d.market_id = g.market_id AND d.observed_us <= g.at_us"""
+
+
+def array_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New sports that come as two parallel arrays, for a venue each: only rows that they change."""
+    m = domain(spark, sf_dir, "markets").select("market_id", "provider_id", "sport")
+    sent = m.where("market_id % 3 = 0").groupBy("provider_id").agg(F.collect_list(F.struct("market_id", F.when(F.col("market_id") % 2 == 0, "nfl").otherwise("golf").alias("sport"))).alias("x"))
+    sent = sent.select(F.col("x.market_id").alias("ids"), F.col("x.sport").alias("sports"))
+    new = sent.select(F.explode(F.arrays_zip("ids", "sports")).alias("z")).select(F.col("z.ids").alias("market_id"), F.col("z.sports").alias("new"))
+    return m.join(new, "market_id").where(~F.col("sport").eqNullSafe(F.col("new"))).select("market_id", F.col("sport").alias("old"), "new")
+
+
+ARRAY_UPDATE = """WITH n AS (SELECT market_id, sport AS old, CASE WHEN market_id % 2 = 0 THEN 'nfl' ELSE 'golf' END AS new FROM markets WHERE market_id % 3 = 0)
+SELECT market_id, old, new FROM n WHERE old IS DISTINCT FROM new"""
+
+
+def closing_trades(spark: SparkSession, sf_dir: str, *, alarm: float = -10.0) -> DataFrame:
+    """Fills that close a position, their profit for each contract, and whether that is an alarm."""
+    f = domain(spark, sf_dir, "mm_fills").select("market_id", "observed_us", "fill_id", money.yes_delta(F.col("side"), F.col("size")).alias("delta"), F.col("price_cents").cast("double").alias("price"))
+    before = Window.partitionBy("market_id").orderBy("observed_us", "fill_id")
+    after = positions(f).select("market_id", "fill_id", F.lag("net").over(before).alias("net"), F.lag("cost").over(before).alias("cost"))
+    found = f.join(after, ["market_id", "fill_id"]).withColumn("pnl", F.round(instruments.closing_pnl(F.col("net"), F.col("cost"), F.col("delta"), F.col("price")), 6))
+    return found.where("pnl IS NOT NULL").select("market_id", "fill_id", "pnl", (F.col("pnl") <= alarm).alias("alarm"))
+
+
 _WORDS = "list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: len(w) > 1)"
 TITLES = f"""WITH t AS (SELECT market_id, provider_id, concat_ws('|', event_ref, category) AS bucket, {_WORDS.format(x="title")} AS w FROM markets),
 p AS (SELECT a.bucket, a.market_id AS left_id, b.market_id AS right_id, len(list_intersect(a.w, b.w)) AS i, len(list_distinct(a.w)) + len(list_distinct(b.w)) AS n FROM t a JOIN t b ON a.bucket = b.bucket AND a.provider_id = 1 AND b.provider_id = 2),
@@ -120,4 +158,7 @@ QUERIES = {
     "strike_pairs": (strike_pairs, STRIKES),
     "dual_listings": (dual_listings, DUAL),
     "post_fill_mids": (post_fill_mids, POST_FILL),
+    "sampled_mids": (sampled_mids, SAMPLED),
+    "array_update": (array_update, ARRAY_UPDATE),
+    "closing_trades": (closing_trades, None),
 }
