@@ -129,3 +129,9 @@ def test_empty_tables(spark):
     assert match_blocks(empty).count() == 0
     assert pd.DataFrame(best_matching([])).empty
     assert Row() == Row()
+
+
+def test_a_repeated_source_key_is_refused(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception, match="key twice"):
+        upsert(target, spark.createDataFrame([(2, "b"), (2, "c")], "k int, v string"), ["k"]).collect()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], rules: dict[str, str] | None = None) -> DataFrame:
     """Rows of both by key. rules: column -> 'new' (the default: the source's value), 'keep' (the target's), 'coalesce'
-    (the source's unless null), 'filled' (the source's unless null or empty), 'greatest'. Each key once on both sides."""
+    (the source's unless null), 'filled' (the source's unless null or empty), 'greatest'. Raises where the source has a key
+    twice: which row should win is not said."""
     rules = rules or {}
     t, s = target.alias("t"), source.alias("s")
     on = None
@@ -25,7 +26,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], rules: dict[st
         both = {"new": new, "keep": old, "coalesce": F.coalesce(new, old), "filled": F.coalesce(F.nullif(new, F.lit("")) if by == "filled" else new, old), "greatest": F.greatest(old, new)}[by]
         return F.when(in_source & in_target, both).when(in_source, new).otherwise(old)
 
-    t, s = target.withColumn("_in", F.lit(1)).alias("t"), source.withColumn("_in", F.lit(1)).alias("s")
+    once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1, F.raise_error(F.lit("the source has a key twice")).cast("int")).otherwise(1)
+    t, s = target.withColumn("_in", F.lit(1)).alias("t"), source.withColumn("_in", once).alias("s")
     return t.join(s, on, "full_outer").select(*(pick(c).alias(c) for c in target.columns))
 
 

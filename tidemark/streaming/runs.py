@@ -12,12 +12,19 @@ from . import book
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def to_end(stream: DataFrame) -> DataFrame:
-    """The result of an aggregating stream once all files that lie there have been read; written as a table."""
+    """The result of an aggregating stream once all files that lie there have been read; written as a table.
+
+    Complete mode, as a run that ends must also give the groups that the watermark has not passed; it keeps all groups. A
+    query that goes on runs the same aggregations in append mode, whose state the watermark bounds."""
     spark, path = stream.sparkSession, _shared(stream.sparkSession)
 
     def keep(batch: DataFrame, number: int) -> None:
