@@ -1,8 +1,7 @@
 """WARC archives as tables of chunks.
 
-A payload is never held a second time as a whole: it is cut into rows (record, chunk number, data) of at most CHUNK
-characters, and the SHA-256 of a record is carried from chunk to chunk as the rows stream through a task. A payload of
-several chunks becomes a segmented record (one first segment, then `continuation` records, as the WARC standard has
+A payload is never held a second time as a whole: it is cut into rows (record, chunk number, data) of some CHUNK bytes,
+slices of the buffer that it came in, and the SHA-256 of a record is carried from chunk to chunk. A payload of several chunks becomes a segmented record (one first segment, then `continuation` records, as the WARC standard has
 them), so that reading an archive needs memory for a segment, not for a record.
 
 Archives are written by Spark's text writer, one row for each record or segment, and read by its text reader with the
@@ -13,76 +12,137 @@ sets that task's size."""
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, written
 
-#: Characters of a chunk, and of the coarse pieces that are cut into chunks.
-CHUNK, PIECE = 1 << 16, 1 << 22
+#: Bytes of a chunk (up to 3 more or fewer, at the border of a character), and of the rows that leave a task at once.
+CHUNK, OUT = 1 << 16, 1 << 22
 #: Payloads of fewer bytes never become revisits.
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 #: Begins each record but a file's first; no payload chunk may contain it.
 NEXT_RECORD = "\nWARC/1.1\r"
+RECORD_START = re.compile(rb"WARC/1\.1")
+
+
+def chunk_ends(data: memoryview, start: int, end: int, chunk: int) -> list[int]:
+    """Where the chunks of data[start:end] end: after each `chunk` bytes, moved back to the start of a character, and
+    inside each start of a WARC record, so that no chunk holds one, be it at its ends or across two chunks."""
+    stops = {m.start() + 4 for m in RECORD_START.finditer(data, start, end)}
+    for stop in range(start + chunk, end, chunk):
+        while stop > start and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        stops.add(stop)
+    stops.discard(start)
+    return [*sorted(stops), end]
+
+
+def payloads(column: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """The offsets of a string column's values, and the bytes that they lie in."""
+    column = column.cast(pa.string())
+    _, offsets, data = column.buffers()
+    if not len(column) or offsets is None:
+        return np.zeros(len(column) + 1, np.int32), pa.py_buffer(b"")
+    return np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1], data or pa.py_buffer(b"")
+
+
+def fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def record_digests(records: DataFrame, payload: str) -> DataFrame:
+    """Replaces the string column `payload` (no nulls) by payload_bytes and payload_digest, taken chunk by chunk."""
+    others = records.drop(payload)
+    names = others.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = payloads(batch.column(payload))
+            view, sums = memoryview(data), []
+            for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                digest = hashlib.sha256()
+                for at in range(start, end, CHUNK):
+                    digest.update(view[at : min(at + CHUNK, end)])
+                sums.append(digest.hexdigest())
+            columns = [*batch.select(names).columns, pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "payload_bytes", "payload_digest"])
+
+    return records.mapInArrow(run, f"{fields(others)}, payload_bytes long, payload_digest string")
 
 
 def chunk_rows(records: DataFrame, payload: str, chunk: int = CHUNK) -> DataFrame:
-    """Replaces the string column `payload` (null: empty) by data, first and last: a row for each chunk, in order, the
-    rows of a record together. A chunk that holds the start of a WARC record, or would between header and trailer, is cut inside it."""
-    others = [c for c in records.columns if c != payload]
-    text = F.coalesce(F.col(payload), F.lit(""))
-    piece = max(chunk, PIECE // chunk * chunk)
-
-    def cut(df: DataFrame, col: Column, size: int, keep: list[str], no: str, of: str) -> DataFrame:
-        df = df.select(*keep, col.alias("_t"), F.greatest(F.lit(1), F.ceil(F.length(col) / size).cast("int")).alias(of))
-        df = df.select("*", F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(no))
-        return df.withColumn("_t", F.substring(F.col("_t"), F.col(no) * size + 1, F.lit(size)))
-
-    df = cut(records, text, piece, others, "_i", "_n")
-    df = cut(df, F.col("_t"), chunk, [*others, "_i", "_n"], "_j", "_m")
-    # A chunk follows a newline and is followed by a carriage return, so its ends count as these.
-    safe = F.when(F.contains("_t", F.lit(NEXT_RECORD.strip())), F.split("_t", r"(?<=\nWARC|\AWARC)(?=/1\.1(?:\r|\z))")).otherwise(F.array("_t"))
-    df = df.select(*others, "_i", "_n", "_j", "_m", F.size(safe).alias("_k"), F.posexplode(safe).alias("_p", "data"))
-    return df.select(
-        *others,
-        "data",
-        F.expr("_i = 0 AND _j = 0 AND _p = 0").alias("first"),
-        F.expr("_i = _n - 1 AND _j = _m - 1 AND _p = _k - 1").alias("last"),
+    """Replaces the string column `payload` (no nulls) by a row for each chunk, in order, the rows of a record together:
+    data, first, last, segment (1, 2, ...), and payload_bytes and payload_digest up to and with the chunk.
+
+    Chunks are offsets into the batch that came in, so no payload is copied before the rows are sent on, some OUT bytes
+    at a time."""
+    others = records.drop(payload)
+    names = others.columns
+    added = ["data", "first", "last", "segment", "payload_bytes", "payload_digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = payloads(batch.column(payload))
+            view = memoryview(data)
+            rows, ends, segments, sizes, sums, lasts = [], [], [], [], [], []
+            for row, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                digest, at = hashlib.sha256(), start
+                for no, stop in enumerate(chunk_ends(view, start, end, chunk), 1):
+                    digest.update(view[at:stop])
+                    at = stop
+                    rows.append(row)
+                    ends.append(stop)
+                    segments.append(no)
+                    sizes.append(stop - start)
+                    sums.append(digest.hexdigest())
+                    lasts.append(stop == end)
+            borders = pa.py_buffer(np.array([offsets[0], *ends], np.int32).tobytes())
+            segments = np.array(segments, np.int32)
+            columns = [
+                *batch.select(names).take(pa.array(rows, pa.int64())).columns,
+                pa.StringArray.from_buffers(len(ends), borders, data),
+                pa.array(segments == 1), pa.array(lasts, pa.bool_()), pa.array(segments), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()),
+            ]
+            cut = pa.RecordBatch.from_arrays(columns, [*names, *added])
+            sent = (np.array(ends, np.int64) - offsets[0]) // OUT
+            for part in np.flatnonzero(np.diff(sent, prepend=-1)).tolist():
+                yield cut.slice(part, int(np.searchsorted(sent, sent[part], "right")) - part)
+
+    return records.mapInArrow(
+        run, f"{fields(others)}, data string, first boolean, last boolean, segment int, payload_bytes long, payload_digest string"
     )
 
 
-def carry_digests(chunks: DataFrame, only_last: bool = False) -> DataFrame:
-    """Adds segment (1, 2, ...), payload_bytes and payload_digest up to and with each chunk. The chunks of a record must
-    follow each other in a partition; only the running digest is carried between them. With only_last, a row for each
-    record, without its data."""
-    out = chunks.drop("data") if only_last else chunks
+def joined_digests(segments: DataFrame) -> DataFrame:
+    """A row for each record of segments, without its data, with payload_bytes and payload_digest. The segments of a
+    record must follow each other in a partition, marked by first and last; only the running digest is carried between."""
+    out = segments.drop("data")
     names = out.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, n, segment = hashlib.sha256(), 0, 0
+        digest, n = hashlib.sha256(), 0
         for batch in batches:
-            sums, sizes, segments = [], [], []
+            sums, sizes = [], []
             flags = (batch.column(c).to_pylist() for c in ("first", "last"))
             for data, first, last in zip(batch.column("data"), *flags, strict=True):
                 if first:
-                    digest, n, segment = hashlib.sha256(), 0, 0
+                    digest, n = hashlib.sha256(), 0
                 data = data.as_buffer()
                 digest.update(data)
-                n, segment = n + data.size, segment + 1
-                sums.append(digest.hexdigest() if last or not only_last else "")
+                n += data.size
+                sums.append(digest.hexdigest() if last else "")
                 sizes.append(n)
-                segments.append(segment)
-            batch = batch.select(names)
-            columns = [*batch.columns, pa.array(segments, pa.int32()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())]
-            batch = pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "segment", "payload_bytes", "payload_digest"])
-            yield batch.filter(batch.column("last")) if only_last else batch
+            columns = [*batch.select(names).columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "payload_bytes", "payload_digest"]).filter(batch.column("last"))
 
-    return chunks.mapInArrow(run, f"{kinds}, segment int, payload_bytes long, payload_digest string")
+    return segments.mapInArrow(run, f"{fields(out)}, payload_bytes long, payload_digest string")
 
 
 def record_types(records: DataFrame, payload: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -90,8 +150,7 @@ def record_types(records: DataFrame, payload: str, least: int = LEAST_REVISIT) -
 
     Of the records that share a payload of at least `least` bytes, those with the smallest id are responses, the rest
     revisits that refer to it; a record without an id is a response only where no other has its payload."""
-    sums = carry_digests(chunk_rows(records.select("id", "mark", payload), payload), only_last=True)
-    sums = written(sums.select("id", "mark", "payload_bytes", "payload_digest"), "digests").distinct()
+    sums = written(record_digests(records.select("id", "mark", payload), payload), "digests").distinct()
     heads = (
         sums.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
@@ -120,7 +179,7 @@ def write_warc(
     records = records.join(types, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).drop("_id", "_mark")
     revisit = F.col("record_type") == "revisit"
     records = records.withColumn("payload", F.when(~revisit, F.col("payload")).otherwise(""))
-    segments = carry_digests(chunk_rows(records, "payload", chunk))
+    segments = chunk_rows(records, "payload", chunk)
 
     crlf = F.lit("\r\n")
     name = F.concat(F.lit("<urn:row:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(":"), F.lower(F.hex("mark")), F.lit(">"))
@@ -205,7 +264,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     parts = rows.where("NOT whole").select("record", "warc_type", "id", "refers_to", "declared_digest", "declared_bytes", "data", (F.col("segment") == 1).alias("first"), F.col("total").isNotNull().alias("last"), F.col("segment").alias("no"))
     heads = parts.where("first").select("record", F.col("declared_digest").alias("d"), F.col("declared_bytes").alias("b"))  # repeated rows keep their number here
     parts = parts.drop("declared_digest", "declared_bytes").dropDuplicates(["record", "no"]).repartition("record").sortWithinPartitions("record", "no")
-    done = carry_digests(parts, only_last=True)
+    done = joined_digests(parts)
     done = done.join(heads, "record").select(
         F.lit("response").alias("warc_type"), "id", "refers_to", F.col("d").alias("declared_digest"), F.col("b").alias("declared_bytes"), "payload_bytes", "payload_digest"
     )
