@@ -104,3 +104,21 @@ def failed_gate(kill: Column, enabled: Column, net: Column, hard: Column, day_pn
 
 def kill_reason(toxicity: Column, toxic_from: Column, day_pnl: Column, loss_limit: Column, adverse_run: Column) -> Column:
     return F.when(toxicity > toxic_from, "toxicity").when((loss_limit > 0) & (day_pnl <= -loss_limit), "daily_loss").when(adverse_run, "consecutive_adverse")
+
+
+# Tickers that are never quoted, hours to the close, since a game's start and to the opening, volume and prices that allow quoting.
+COMBOS, BELOW_STRIKES = "KXMVE", r"-B\d"
+LEAST_CLOSE_HOURS, GAME_HOURS, MOST_OPEN_HOURS, THIN_VOLUME, LEAST_PRICE, NO_ASK = 4, 4, 12, 100, 0.01, 0.99
+
+
+def rotation_fault(ticker: Column, blocked: Column, bid: Column, ask: Column, hours_to_close: Column, hours_to_open: Column, volume: Column, hours_since_game: Column, least_close_hours: float = LEAST_CLOSE_HOURS, game_hours: float = GAME_HOURS) -> Column:
+    """Why a listing is not quoted; null where it can be. Prices in dollars; hours_since_game: since a game's start, null
+    where the ticker holds none. Faults of form ('not_a_candidate') are passed over without a word by those who ask."""
+    form = ticker.startswith(COMBOS) | ticker.rlike(BELOW_STRIKES) | bid.isNull() | ask.isNull() | (bid <= LEAST_PRICE) | (ask <= LEAST_PRICE) | (ask <= bid) | (ask >= NO_ASK)
+    cents = lambda p: F.floor(p * 100 + 0.5)
+    return (
+        F.when(F.coalesce(ticker, F.lit("")) == "", "not_a_candidate").when(F.coalesce(blocked, F.lit(False)), "blocklist")
+        .when(form | hours_to_close.isNull() | (hours_to_close < least_close_hours), "not_a_candidate")
+        .when((cents(ask) - cents(bid) <= 1) & (F.coalesce(volume, F.lit(0)) < THIN_VOLUME), "locked_and_thin")
+        .when(hours_to_open > MOST_OPEN_HOURS, "pre_event_dead_air").when(hours_since_game > game_hours, "game_already_ended")
+    )

@@ -79,3 +79,43 @@ def page(limit: int, offset: int, most: int) -> tuple[int, int]:
     if limit < 1 or offset < 0:
         raise ValueError("a page has at least one row and begins at 0 or later")
     return min(limit, most), offset
+
+
+def _given(*choices: Column) -> Column:
+    """The first that is neither null nor blank, without outer spaces."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in choices))
+
+
+def series_of(meta: Column, ref: Column) -> Column:
+    """A listing's series: as its metadata (JSON text) names it, else its ticker up to the first hyphen; empty without either."""
+    r = F.trim(F.coalesce(ref, F.lit("")))
+    told = _given(F.get_json_object(meta, "$.series_ticker"), F.get_json_object(meta, "$.seriesTicker"))
+    return F.coalesce(told, F.when(F.instr(r, "-") > 1, F.substring_index(r, "-", 1)).otherwise(r))
+
+
+def game_of(meta: Column, ref: Column) -> Column:
+    """What a listing's ticker says of its event: two parts where the first names a GAME, three of four or more, itself of
+    one or three, the series of two. Without a ticker what the metadata names."""
+    r = F.trim(F.coalesce(ref, F.lit("")))
+    parts = F.filter(F.split(r, "-"), lambda p: p != "")
+    n, first = F.size(parts), lambda k: F.array_join(F.slice(parts, 1, k), "-")
+    by_ticker = (
+        F.when(n <= 1, r).when(F.contains(F.upper(F.get(parts, 0)), F.lit("GAME")) & (n >= 3), first(2)).when(n >= 4, first(3)).when(n == 3, r).otherwise(series_of(meta, ref))
+    )
+    told = _given(F.get_json_object(meta, "$.event_ticker"), F.get_json_object(meta, "$.eventTicker"))
+    return F.when(r != "", by_ticker).otherwise(F.coalesce(told, series_of(meta, ref)))
+
+
+def yes_token(meta: Column) -> Column:
+    """The first token id of a listing's metadata (JSON text), which holds an array or the text of one."""
+    raw = F.coalesce(*(F.get_json_object(meta, f"$.{k}") for k in ("clob_token_ids", "clobTokenIds", "clob_tokens")))
+    first = F.get(F.from_json(raw, "array<string>"), 0)
+    return F.when(raw.startswith("["), first)
+
+
+def swept_prices(prices: Column, bid: Column, ask: Column) -> Column:
+    """(yes, bid, ask) of a payload: the first of the prices (JSON text), else the mid; each null outside 0 to 1."""
+    within = lambda p: F.when((p >= 0) & (p <= 1), p)
+    b, a = bid.try_cast("double"), ask.try_cast("double")
+    yes = F.get(F.from_json(prices, "array<string>"), 0).try_cast("double")
+    return F.struct(F.coalesce(within(yes), within((b + a) / 2)).alias("yes"), within(b).alias("bid"), within(a).alias("ask"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,3 +21,8 @@ def band(x: Column, bands: Iterable[tuple[float, float]], otherwise: float) -> C
     for most, value in reversed(tuple(bands)):
         out = F.when(x <= most, value).otherwise(out)
     return out
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once and stands in the plan once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
