@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .decontaminate import op2_decontaminate
+from .lines import OP11_SQL, op11_line_dedup
+from .middle import OP13_SQL, op13_fill_in_middle
 from .pieces import op7_sentencepiece
 from .pii import op3_pii_sanitise
 from .separators import op6_separator_scan
@@ -26,9 +28,13 @@ QUERIES: dict[str, Callable] = {
     "op8_lpt_sharding": op8_lpt_sharding,
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_chunks": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
+    "op11_line_dedup": OP11_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
