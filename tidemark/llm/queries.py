@@ -7,6 +7,7 @@ from collections.abc import Callable
 from .decontaminate import op2_decontaminate
 from .lines import OP11_SQL, op11_line_dedup
 from .middle import OP13_SQL, op13_fill_in_middle
+from .periods import op12_periodic_runs
 from .pieces import op7_sentencepiece
 from .pii import op3_pii_sanitise
 from .separators import op6_separator_scan
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable] = {
     "op9_token_files": op9_token_files,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
