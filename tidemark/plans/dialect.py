@@ -59,7 +59,10 @@ def with_tables(d: Dialect, body: str, ctes: dict[str, tuple[Text, tuple[str, ..
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {head}\n{body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
+    return f"WITH {head}\n{body}"
 
 
 def query(text: Text, ctes) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
