@@ -53,8 +53,8 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LIST = "list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: len(w) > 1)"
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: len(w) > 0), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
-TITLES = f"""WITH t AS (SELECT p.proposal_id, {_LIST.format(x="a.title")} AS a, {_LIST.format(x="b.title")} AS b, {_GRAMS.format(x="a.title")} AS ga, {_GRAMS.format(x="b.title")} AS gb
+GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: len(w) > 0), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
+TITLES = f"""WITH t AS (SELECT p.proposal_id, {_LIST.format(x="a.title")} AS a, {_LIST.format(x="b.title")} AS b, {GRAMS.format(x="a.title")} AS ga, {GRAMS.format(x="b.title")} AS gb
 FROM proposals p JOIN markets a ON a.market_id = p.market_a JOIN markets b ON b.market_id = p.market_b),
 n AS (SELECT proposal_id, len(list_intersect(a, b)) AS i, len(list_distinct(a)) AS na, len(list_distinct(b)) AS nb, len(list_intersect(ga, gb)) AS gi, len(ga) AS nga, len(gb) AS ngb FROM t)
 SELECT proposal_id, round(CASE WHEN na + nb = 0 THEN 0 ELSE i / (na + nb - i) END, 6) AS title_jaccard, round(CASE WHEN nga + ngb = 0 THEN 0 ELSE gi / (nga + ngb - gi) END, 6) AS trigram,

@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import decisions, listings, money, races
+from ..functions import decisions, listings, money, races, text
 from ..operators.matching import match_blocks
 from ..operators.proposals import MOST_EQUIVALENT, MOST_PROXY, PER_BLOCK, block_pairs, run_of
+from ..operators.similarity import similar_sets
 from ..operators.tables import written
 from .domain import domain
+from .frames import GRAMS
 
 PLACES = ("oh", "tx", "ga", "mi", "pa", "az", "nv", "wi", "fl", "ca", "il", "mn", "mo", "tn", "ut", "va", "wy", "ks", "ky", "ia", "la", "md", "ma", "ct")
 NAMES = {code: name.title() for name, code in races.STATES.items() if code in PLACES}
@@ -101,6 +103,30 @@ def near_proxies(spark: SparkSession, sf_dir: str, most: int = 5) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+#: Fixed value: trigram similarity above which a listing may belong to an event.
+ALIKE = 0.4
+
+
+def mislabelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events said to be of venue 2 alone that active listings of venue 1 are named like, though no link of theirs says so:
+    how many listings, for each event. Different titles are compared once, then their events and listings joined."""
+    m = domain(spark, sf_dir, "markets")
+    named = m.select(F.col("market_id").alias("event_id"), F.lower(F.concat_ws(" ", "title", "category")).alias("event_title"))
+    events = domain(spark, sf_dir, "canonical_events").where("event_id % 3 > 0").select("event_id").join(named, "event_id")
+    listed = m.where("provider_id = 1 AND status = 'active'").select("market_id", F.lower(F.concat_ws(" ", "title", "category")).alias("listing_title"))
+    sets = lambda rows, c, key: rows.select(F.col(c).alias(key), text.trigrams(F.col(c)).alias("items")).distinct()
+    alike = similar_sets(sets(events, "event_title", "left_id"), sets(listed, "listing_title", "right_id"), ALIKE)
+    found = events.join(alike.select(F.col("left_id").alias("event_title"), F.col("right_id").alias("listing_title")), "event_title").join(listed, "listing_title")
+    links = domain(spark, sf_dir, "links").join(domain(spark, sf_dir, "families").select("family_id", "event_id"), "family_id").select("event_id", "market_id")
+    return found.join(links, ["event_id", "market_id"], "left_anti").groupBy("event_id", "event_title").agg(F.count(F.lit(1)).alias("orphaned"))
+
+
+MISLABELLED = f"""WITH e AS (SELECT c.event_id, lower(concat_ws(' ', m.title, m.category)) AS event_title FROM canonical_events c JOIN markets m ON m.market_id = c.event_id WHERE c.event_id % 3 > 0),
+l AS (SELECT market_id, lower(concat_ws(' ', title, category)) AS listing_title FROM markets WHERE provider_id = 1 AND status = 'active'),
+g AS (SELECT e.event_id, e.event_title, l.market_id, {GRAMS.format(x="event_title")} AS a, {GRAMS.format(x="listing_title")} AS b FROM e CROSS JOIN l)
+SELECT event_id, event_title, count(*) AS orphaned FROM g WHERE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) > {ALIKE}
+AND NOT EXISTS (SELECT 1 FROM links k JOIN families f ON f.family_id = k.family_id WHERE f.event_id = g.event_id AND k.market_id = g.market_id) GROUP BY 1, 2"""
+
 _VALUES = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _TOKENS = "list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: len(w) > 1)"
 _JACCARD = "(CASE WHEN len(list_distinct({a})) + len(list_distinct({b})) = 0 THEN 0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / (len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect({a}, {b}))) END)"
@@ -158,4 +184,5 @@ QUERIES = {
     "best_proposals": (best_proposals, BEST_PROPOSALS),
     "proposal_run": (proposal_run, None),
     "near_proxies": (near_proxies, NEAR_PROXIES),
+    "mislabelled_events": (mislabelled_events, MISLABELLED),
 }
