@@ -149,8 +149,9 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(at + offsets[:-1]), pa.array(n), ids], ["id", "start_in_part", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).orderBy(F.asc_nulls_first("id"))
-    rows = rows.mapInArrow(run, "id long, start_in_part long, n_tokens long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # The text's hash parts rows without an id, and equal ids, among tasks.
+    rows = rows.orderBy(F.asc_nulls_first("id"), F.xxhash64("text")).mapInArrow(run, "id long, start_in_part long, n_tokens long, ids array<int>")
     options = {
         "parquet.block.size": row_group,
         "parquet.page.size": page,
