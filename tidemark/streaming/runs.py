@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import book
+from ..operators.tables import shared_path
+from . import book, sinks, states
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+#: When a bounded run ends: after all rows.
+END = "2200-01-01"
 
 
-def to_end(stream: DataFrame) -> DataFrame:
-    """The result of an aggregating stream once all files that lie there have been read; written as a table.
+def closed(stream: DataFrame, time: str, **values) -> DataFrame:
+    """The stream and one row more, at END and with the values given: it moves the watermark past all others, so that a
+    bounded run gives every group that they make. The row itself belongs to a group that stays open."""
+    spark = stream.sparkSession
+    kinds = {f.name: f.dataType for f in stream.schema}
+    row = spark.range(1).select(*(F.lit(END if c == time else values.get(c)).cast(t).alias(c) for c, t in kinds.items()))
+    path = shared_path(spark, "closing")
+    row.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
 
-    Complete mode, as a run that ends must also give the groups that the watermark has not passed; it keeps all groups. A
-    query that goes on runs the same aggregations in append mode, whose state the watermark bounds."""
-    spark, path = stream.sparkSession, _shared(stream.sparkSession)
+def to_end(stream: DataFrame) -> DataFrame:
+    """What a stream gives until all files that lie there have been read, in append mode: groups that the watermark has
+    passed, whose state is dropped then. Batches are written by their number, so one that runs twice counts once."""
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
+
+
+def with_timers(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Runs a stream whose states have timers, in a session that may not have their state store yet."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, states.PROVIDER)
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +60,7 @@ def streamed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute flow of a market, from a stream of trades."""
     e = _events(spark, sf_dir)
     trades = e.select(F.concat(F.lit("m"), F.col("user_id") % 20).alias("market"), "at", F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.round("value", 4).alias("usdc"))
-    out = to_end(book.flow(trades))
+    out = to_end(book.flow(closed(trades, "at")))
     return out.select("market", F.unix_micros("bucket").alias("bucket_us"), "buys", "sells", F.round("usdc", 4).alias("usdc"))
 
 
@@ -59,7 +74,7 @@ def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("user_id") % 3).alias("candidate"), F.col("event_type").alias("event_id"), F.col("at").alias("observed_at"),
         F.when(F.col("event_id") % 11 != 0, F.round((F.col("value") % 100) / 100, 4)).alias("bid_1"), F.round(((F.col("value") * 7) % 100) / 100, 4).alias("ask_2"),
     )
-    out = to_end(book.gap_sessions(quotes, "1800 seconds"))
+    out = to_end(book.gap_sessions(closed(quotes, "observed_at", bid_1=1.0, ask_2=0.0), "1800 seconds"))
     return out.select("candidate", "event_id", F.unix_micros("edge_start").alias("start_us"), F.unix_micros("edge_end").alias("end_us"), "observations", F.round("max_edge", 6).alias("max_edge"))
 
 
@@ -68,4 +83,83 @@ gaps AS (SELECT *, observed_us - lag(observed_us) OVER (PARTITION BY candidate,
 runs AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY candidate, event_id ORDER BY observed_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM gaps)
 SELECT candidate, event_id, min(observed_us) AS start_us, max(observed_us) AS end_us, count(*) AS observations, round(max(edge), 6) AS max_edge FROM runs GROUP BY candidate, event_id, grp"""
 
-QUERIES = {"streamed_flow": (streamed_flow, STREAMED_FLOW), "streamed_sessions": (streamed_sessions, STREAMED_SESSIONS)}
+def observed(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the observer over landed quotes to their end; the folder of its tables. Every quote comes twice."""
+    e = _events(spark, sf_dir)
+    quotes = e.select(
+        F.concat(F.lit("c"), F.col("user_id") % 3).alias("pair"), F.col("event_id"), F.col("at").alias("observed_at"),
+        F.when(F.col("event_id") % 11 != 0, F.round((F.col("value") % 100) / 100, 4)).alias("price_1"), F.when(F.col("event_id") % 13 != 0, F.round(((F.col("value") * 7) % 100) / 100, 4)).alias("price_2"),
+        (F.col("event_id") % 17 != 0).alias("parsed"),
+    )
+    path = shared_path(spark, "observer")
+    sinks.observer(quotes.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy"), path, 3).awaitTermination()
+    return path
+
+
+def observed_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spreads that the observer writes."""
+    rows = sinks.committed(spark, observed(spark, sf_dir), "spreads", sinks.HEARTBEAT)
+    return rows.select("pair", "event_id", F.unix_micros("observed_at").alias("observed_us"), F.round("spread", 4).alias("spread"))
+
+
+def observed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the observer's heartbeats and snapshots say in all."""
+    path = observed(spark, sf_dir)
+    beats = sinks.committed(spark, path, sinks.HEARTBEAT, sinks.HEARTBEAT)
+    beats = beats.agg(*(F.sum(c).alias(c) for c in ("attempted", "succeeded", "errors_1", "errors_2", "parse_errors")))
+    snapshots = sinks.committed(spark, path, "snapshots", sinks.HEARTBEAT).agg(F.count(F.lit(1)).alias("snapshots"), F.round(F.sum("price_yes"), 3).alias("prices"))
+    return beats.crossJoin(F.broadcast(snapshots))  # one row each
+
+
+_QUOTED = """WITH q AS (SELECT concat('c', user_id % 3) AS pair, event_id, epoch_us(ts) AS observed_us, CASE WHEN event_id % 11 <> 0 THEN round((value % 100) / 100, 4) END AS a,
+CASE WHEN event_id % 13 <> 0 THEN round(((value * 7) % 100) / 100, 4) END AS b, event_id % 17 <> 0 AS parsed FROM events)
+"""
+OBSERVED_SPREADS = _QUOTED + "SELECT pair, event_id, observed_us, round(a - b, 4) AS spread FROM q WHERE parsed AND a IS NOT NULL AND b IS NOT NULL"
+OBSERVED_HEALTH = _QUOTED + """SELECT count(*) AS attempted, count(*) FILTER (WHERE parsed AND a IS NOT NULL AND b IS NOT NULL) AS succeeded, count(*) FILTER (WHERE parsed AND a IS NULL) AS errors_1,
+count(*) FILTER (WHERE parsed AND b IS NULL) AS errors_2, count(*) FILTER (WHERE NOT parsed) AS parse_errors, count(a) FILTER (WHERE parsed) + count(b) FILTER (WHERE parsed) AS snapshots,
+round(sum(coalesce(a, 0) + coalesce(b, 0)) FILTER (WHERE parsed), 3) AS prices FROM q"""
+#: A day, at which books of the test tables are sampled; hours in which so many failures are a burst.
+DAY_MS, HOURS_MS, SOME = 86_400_000, 72 * 3_600_000, 3
+
+
+def streamed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of each ticker at the start of every day, from a stream of snapshots and deltas over two connections."""
+    e = _events(spark, sf_dir)
+    level = lambda p: F.array(F.struct(p.cast("string").alias("price"), F.lit(5.0).alias("qty")))
+    price = lambda k: F.round((F.col("event_id") * k % 40 + 5) / 100, 2)
+    messages = e.select(
+        F.concat(F.lit("t"), F.col("user_id") % 50).alias("ticker"), "at", F.col("event_id").alias("seq"), (F.col("at") >= "2024-01-16").cast("int").alias("epoch"),
+        F.when(F.col("event_id") % 4 == 0, "snapshot").otherwise("delta").alias("kind"), level(price(3)).alias("yes"), F.when(F.col("event_id") % 3 > 0, level(price(7))).alias("no"),
+    )
+    ends = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts").cast("timestamp").alias("x")).first()[0]  # one time
+    closing = f"{ends:%Y-%m-%d}"
+    return with_timers(spark, lambda: to_end(states.sampled_books(closed_at(messages, "at", closing), DAY_MS))).drop("yes_levels")
+
+
+def closed_at(stream: DataFrame, time: str, day: str) -> DataFrame:
+    """As closed, with a row of no ticker at a day's start: for streams that give rows as long as time passes."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "closing")
+    spark.range(1).select(*((F.lit(day).cast("timestamp") + F.expr("INTERVAL 1 DAY 10 SECONDS") if f.name == time else F.lit("delta" if f.name == "kind" else None).cast(f.dataType)).alias(f.name) for f in stream.schema)).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def streamed_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When tickers are left alone after a burst of failures, and when no more."""
+    e = _events(spark, sf_dir)
+    placed = e.select(F.concat(F.lit("t"), F.col("user_id") % 50).alias("ticker"), "at", F.col("event_id").alias("seq"), (F.col("event_id") % 7 == 0).alias("ok"))
+    return with_timers(spark, lambda: to_end(states.burst_changes(closed(placed, "at", ok=True), HOURS_MS, SOME)))
+
+
+STREAMED_SAMPLES = f"""WITH m AS (SELECT concat('t', user_id % 50) AS ticker, epoch_us(ts) // 1000 AS ms, event_id AS seq, ts >= TIMESTAMP '2024-01-16' AS epoch, event_id % 4 = 0 AS snap,
+  CAST(event_id * 3 % 40 + 5 AS INT) AS y, CASE WHEN event_id % 3 > 0 THEN CAST(event_id * 7 % 40 + 5 AS INT) END AS n FROM events),
+d AS (SELECT unnest(generate_series((SELECT min(ms) // {DAY_MS} FROM m), (SELECT max(ms) // {DAY_MS} FROM m) + 1)) * {DAY_MS} AS at_ms),
+l AS (SELECT ticker, at_ms, max(ms) AS seen, arg_max(epoch, ms * 1000000 + seq) AS epoch FROM d JOIN m ON ms <= at_ms GROUP BY 1, 2),
+s AS (SELECT l.ticker, at_ms, seen, l.epoch, max(ms * 1000000 + seq) AS since FROM l JOIN m ON m.ticker = l.ticker AND m.epoch = l.epoch AND snap AND ms <= at_ms GROUP BY 1, 2, 3, 4),
+b AS (SELECT s.ticker, at_ms, seen, max(y) AS y, max(n) AS n FROM s JOIN m ON m.ticker = s.ticker AND m.epoch = s.epoch AND ms <= at_ms AND ms * 1000000 + seq >= since GROUP BY 1, 2, 3)
+SELECT ticker, at_ms, CASE WHEN 100 - n >= y THEN (y + 100 - n) / 2 END::DOUBLE AS mid_cents, CASE WHEN 100 - n >= y THEN 100 - n - y END AS spread_cents, at_ms - seen AS age_ms FROM b"""
+
+QUERIES = {
+    "streamed_flow": (streamed_flow, STREAMED_FLOW), "streamed_sessions": (streamed_sessions, STREAMED_SESSIONS), "observed_spreads": (observed_spreads, OBSERVED_SPREADS), "observed_health": (observed_health, OBSERVED_HEALTH),
+    "streamed_samples": (streamed_samples, STREAMED_SAMPLES), "streamed_bursts": (streamed_bursts, None),
+}
