@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shingle, and the similarity from which a window is contaminated.
@@ -201,6 +201,22 @@ def _built(name: str, items: list[tuple[int, str]]) -> Items:
     return _BUILT[name]
 
 
+def item_sets(items: DataFrame, most_items: int = MOST_ITEMS) -> Column:
+    """Names the set of each of items (item, text), so that a set has at most most_items items and MOST_BYTES of text. A text
+    of half of that or more is a set of its own. The others are dealt by hash to twice as many sets as would do, and to
+    twice as many again while one is too full."""
+    hashed, size = F.xxhash64("item", "text"), F.octet_length("text")
+    alone = size * 2 > MOST_BYTES
+    n, total = items.where(~alone).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    sets = max(1, -(-2 * n // most_items), -(-2 * total // MOST_BYTES)) if n > most_items or total > MOST_BYTES else 1
+    while True:
+        place = F.when(alone, F.concat(F.lit("alone:"), hashed)).otherwise(F.pmod(hashed, F.lit(sets)).cast("string"))
+        held = items.where(~alone).groupBy(place.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+        if held.where((F.col("n") > 1) & ((F.col("n") > most_items) | (F.col("bytes") > MOST_BYTES))).isEmpty():
+            return place
+        sets *= 2
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most_items: int = MOST_ITEMS
 ) -> DataFrame:
@@ -211,17 +227,12 @@ def contaminated(
     rows of docs each come back, repeated items once. A text shorter than an item is one window. The items travel to the tasks in sets
     of at most `most_items` and MOST_BYTES of text, one pass over docs for each set. Other columns are ignored; empty tables give an empty one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("length(trim(text)) > 0").distinct()
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    # Dealt by hash; sets are half full on average, so that none overflows, unless by one very long item.
-    sets = max(1, -(-2 * n // most_items), -(-2 * size // MOST_BYTES)) if n > most_items or size > MOST_BYTES else 1
+    place = item_sets(items, most_items)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     kinds, out = "id long, item_id long, first_word long, n_words long, similarity double", None
-    for part in range(sets):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == part) if sets > 1 else items
-        own_n, own_size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        if own_n > 1 and (own_n > most_items or own_size > MOST_BYTES):
-            raise ValueError(f"a set of {own_n} items of {own_size} bytes: more than {most_items} or {MOST_BYTES}")
+    for part in [r["part"] for r in items.select(place.alias("part")).distinct().collect()] or [""]:  # one name for each set
+        own = items.where(place == part)
         shared = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in own.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:

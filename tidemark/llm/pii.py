@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import bound
 from .common import written
 
 #: Documents in which a value, or a term beside an entity, must occur before the corpus says anything of it.
@@ -40,10 +41,21 @@ PATTERNS = {
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _root(n: Column) -> Column:
+    return F.ceil(F.sqrt(n)).cast("int")
+
+
+def _stretches(items: Column) -> Column:
+    """An array cut into about as many stretches as each has members. Folds that put arrays together copy what they have
+    at each step; stretch by stretch they copy n to the power of 1.5 members in all, not the square of n."""
+    return bound(items, lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _root(F.size(x))).cast("int")), lambda i: F.slice(x, i * _root(F.size(x)) + 1, _root(F.size(x))))))
+
+
 def positions(kind: str | Column, matches: Column, between: Column) -> Column:
     """The spans of all matches of a pattern, given them and what a split at the pattern leaves."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
     pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -51,8 +63,12 @@ def positions(kind: str | Column, matches: Column, between: Column) -> Column:
         span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def stretch(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return bound(own, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.when(F.size(matches) > 0, F.aggregate(_stretches(pairs), begin, stretch, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -102,7 +118,9 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str = "text", min_docs:
     found: (key, text, base) of the rows with base spans; docs: the text of all rows. Counts are of rows, all of them."""
     total = docs.agg(F.count(F.lit(1)).alias("n_all"))
     letters = lambda df: F.filter(F.array_distinct(F.split(df[text], r"[^\p{L}]+")), lambda w: F.length(w) >= MIN_LETTERS)
-    values = found.select("key", F.explode(F.array_distinct(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("e")).select("key", "e.*")
+    # As strings: different structs of an array are found by comparing all of them.
+    told = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    values = found.select("key", F.explode(told).alias("e")).select("key", F.substring_index("e", ":", 1).alias("kind"), F.regexp_replace("e", "^[a-z]*:", "").alias("value"))
     often = values.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     named = values.join(often, ["kind", "value"], "left")
     entities = named.select("key", F.when(F.col("n").isNotNull(), F.concat_ws(":", "kind", "value")).otherwise(F.col("kind")).alias("entity")).distinct()
@@ -122,15 +140,57 @@ def _general(term: Column) -> Column:
     return F.when(term.rlike(r"^\p{Lu}+$"), "[ACRONYM]").when(term.rlike(r"^\p{Lu}"), "[Name]").otherwise("[word]")
 
 
-def _sanitised(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced, from left to right; of those that overlap, the first."""
+SWAP = "struct<start:int,is_term:int,end:int,by:string,term:string,degree:double>"
+#: A place after all texts.
+AFTER = 2**31 - 1
+
+
+def _swaps(base: Column, hits: Column, degrees: Column) -> Column:
+    """What is replaced, from left to right: base spans (of those that overlap, the first) and the terms that overlap none,
+    by one walk over both in order of their starts. A term waits for the span after it, which may begin within it."""
+    spans = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("is_term"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("degree")))
+    terms = F.transform(hits, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("is_term"), t["end"].alias("end"), F.when(degrees[t["value"]] >= REMOVE, "").otherwise(_general(t["value"])).alias("by"), t["value"].alias("term"), degrees[t["value"]].alias("degree")))
+    last = F.array(F.struct(F.lit(AFTER).alias("start"), F.lit(0).alias("is_term"), F.lit(AFTER).alias("end"), F.lit("").alias("by"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("degree")))
+    none = F.lit(None).cast(SWAP)
+
+    def step(acc: Column, x: Column) -> Column:
+        is_base, wait = x["is_term"] == 0, acc["wait"]
+        fine = wait.isNotNull() & (~is_base | (wait["end"] <= x["start"]))
+        put = F.concat(acc["out"], F.when(fine, F.array(wait)).otherwise(F.array().cast(f"array<{SWAP}>")), F.when(is_base & (x["start"] >= acc["at"]), F.array(x)).otherwise(F.array().cast(f"array<{SWAP}>")))
+        return F.struct(
+            F.when(is_base & (x["start"] >= acc["at"]), x["end"]).otherwise(acc["at"]).alias("at"),
+            F.when(is_base, F.greatest(acc["covered"], x["end"])).otherwise(acc["covered"]).alias("covered"),
+            F.when(~is_base & (x["start"] >= acc["covered"]), x).otherwise(none).alias("wait"),
+            put.alias("out"),
+        )
+
+    def stretch(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.struct(acc["at"].alias("at"), acc["covered"].alias("covered"), acc["wait"].alias("wait"), F.array().cast(f"array<{SWAP}>").alias("out")), step)
+        return bound(own, lambda r: F.struct(r["at"].alias("at"), r["covered"].alias("covered"), r["wait"].alias("wait"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("covered"), none.alias("wait"), F.array().cast(f"array<array<{SWAP}>>").alias("out"))
+    done = F.aggregate(_stretches(F.array_sort(F.concat(spans, terms, last))), begin, stretch, lambda acc: F.flatten(acc["out"]))
+    return F.filter(done, lambda s: s["start"] < AFTER)
+
+
+def _sanitised(text: Column, swaps: Column) -> Column:
+    """The text with its swaps made. They don't overlap; each stretch of them is cut out of the text first, so that no swap
+    goes through the whole text."""
+
+    def cut(xs: Column) -> Column:
+        def one(part: Column, at: Column, own: Column) -> Column:
+            before = lambda i: F.when(i == 0, at).otherwise(F.get(own, i - 1)["end"]) - at
+            return F.array_join(F.transform(own, lambda s, i: F.concat(F.substring(part, before(i) + 1, s["start"] - at - before(i)), s["by"])), "")
+
+        def stretch(own: Column, i: Column) -> Column:
+            at = F.coalesce(F.element_at(F.get(xs, i - 1), -1)["end"], F.lit(0))
+            part = F.substring(text, at + 1, F.element_at(own, -1)["end"] - at)
+            return bound(part, lambda p: one(p, at, own))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(acc)
+        return F.array_join(F.transform(xs, stretch), "")
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, done)
+    end = F.coalesce(F.element_at(swaps, -1)["end"], F.lit(0))
+    return F.when(F.size(swaps) == 0, text).otherwise(F.concat(bound(_stretches(swaps), cut), F.substring(text, end + 1, F.length(text))))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -160,14 +220,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("degrees"), "|"), F.lit(r")(?!\p{L})"))
     joined = joined.withColumn("_pattern", pattern).withColumn("_hits", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("_text", F.col("_pattern"), F.lit(0))))
     hits = positions("term", F.coalesce("_hits", F.array().cast("array<string>")), F.when(F.col("_pattern").isNotNull(), F.split("_text", F.col("_pattern"), -1)))
-    free = F.filter(hits, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    terms = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("term"), F.col("degrees")[t["value"]].alias("degree")))
-    joined = joined.withColumn("terms", terms)
-    swaps = F.array_sort(F.concat(
-        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["degree"] >= REMOVE, "").otherwise(_general(t["term"])).alias("by"))),
-    ))
-    some = joined.withColumn("_swaps", swaps).select(*columns, "base", "terms", _sanitised(F.col("_text"), F.col("_swaps")).alias("sanitised"))
+    joined = joined.withColumn("_swaps", _swaps(F.col("base"), hits, F.col("degrees")))
+    terms = F.transform(F.filter("_swaps", lambda s: s["is_term"] == 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["term"].alias("term"), s["degree"].alias("degree")))
+    some = joined.select(*columns, "base", terms.alias("terms"), _sanitised(F.col("_text"), F.col("_swaps")).alias("sanitised"))
     return none.unionByName(some)
 
 
