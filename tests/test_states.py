@@ -143,3 +143,30 @@ def test_observer_killed_between_writes(spark, tmp_path, monkeypatch):
     total = beats.agg(*(F.sum(c) for c in ("attempted", "succeeded", "errors_1", "errors_2", "parse_errors"))).first()
     assert tuple(total) == (len(once), len(fine), sum(r[5] and r[3] is None for r in once), sum(r[5] and r[4] is None for r in once), sum(not r[5] for r in once))
     assert len(died) == 2
+
+
+def test_settlements_agree_after_a_crash(spark, tmp_path, monkeypatch):
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(12), 1, 1000 * (i + 1), i, rnd.choice(["yes", "no"]), i * 10) for i in range(60)]
+    stream = landed(spark, tmp_path, rows, "market_id long, provider_id int, ms long, seq long, outcome string, resolved_us long", 4)
+    path, died, whole = f"file://{tmp_path}/settled", [], sinks.into_tables
+
+    def dying(stream, path, tables, last, **trigger):
+        def changes(batch):
+            if len(died) < 2:
+                died.append(1)
+                raise RuntimeError("killed")
+            return tables[last](batch)
+
+        return whole(stream, path, tables | {last: changes}, last, **trigger)
+
+    monkeypatch.setattr(sinks, "into_tables", dying)
+    for _ in range(2):
+        with pytest.raises(Exception, match="killed"):
+            sinks.settlements(stream, path).awaitTermination()
+    sinks.settlements(stream, path).awaitTermination()
+    history = sinks.settlement_history(spark, path)
+    assert sorted(r["seq"] for r in history.collect()) == list(range(60))
+    last = {r[0]: (r[3], r[4], r[5]) for r in rows}
+    assert {r["market_id"]: (r["seq"], r["outcome"], r["resolved_us"]) for r in sinks.settled(spark, path).collect()} == last
+    assert history.select("batch").distinct().count() == 4

@@ -52,8 +52,8 @@ QUERIES: dict[str, Text] = {
     "fuzzy_contains": lambda d: "SELECT e.event_id, count(*) AS n FROM canonical_events e JOIN markets m ON e.event_category = 'sports' AND CAST(regexp_extract(m.event_ref, '([0-9]+)', 1) AS INT) = e.event_id GROUP BY e.event_id",
     "titles_by_topic": lambda d: f"SELECT CASE WHEN {d.matches('lower(title)', '(red|rose|coral)')} THEN 'red' WHEN lower(title) LIKE '%blue%' THEN 'blue' WHEN {d.matches('title', '^[a-m]')} THEN 'a-m' ELSE 'other' END AS topic, count(*) AS n FROM markets GROUP BY 1",
     "snapshot_provenance": lambda d: "SELECT coalesce(price_source, 'none') AS price_source, count(*) AS n, count(DISTINCT market_id) AS markets FROM snapshots GROUP BY 1",
-    "round_trip": lambda d: "SELECT p.proposal_id, p.reviewed_us, count(DISTINCT l.link_id) AS links, count(DISTINCT s.snapshot_id) AS n_snapshots, max(s.observed_us) AS last_us FROM proposals p LEFT JOIN current_links l ON l.market_id = p.market_a LEFT JOIN snapshots s ON s.market_id = p.market_a WHERE p.decision = 'accepted' AND p.proposal_id < 2000 GROUP BY 1, 2",
-    "mapping_checks": lambda d: "SELECT 'duplicate' AS fact, count(*) AS n FROM (SELECT event_ref, provider_id FROM markets GROUP BY 1, 2 HAVING count(*) > 1) AS t UNION ALL SELECT 'cross_provider', count(*) FROM (SELECT event_ref FROM markets GROUP BY 1 HAVING count(DISTINCT provider_id) > 1) AS t UNION ALL SELECT 'orphan_family', count(*) FROM families f LEFT JOIN canonical_events e ON e.event_id = f.event_id + 1 WHERE e.event_id IS NULL",
+    "round_trip": lambda d: "SELECT p.proposal_id, p.reviewed_us, coalesce(l.links, 0) AS links, coalesce(s.n_snapshots, 0) AS n_snapshots, s.last_us FROM proposals p LEFT JOIN (SELECT market_id, count(*) AS links FROM current_links GROUP BY 1) AS l ON l.market_id = p.market_a LEFT JOIN (SELECT market_id, count(*) AS n_snapshots, max(observed_us) AS last_us FROM snapshots GROUP BY 1) AS s ON s.market_id = p.market_a WHERE p.decision = 'accepted'",
+    "mapping_checks": lambda d: "SELECT 'duplicate' AS fact, count(*) AS n FROM (SELECT event_ref, provider_id FROM markets GROUP BY 1, 2 HAVING count(*) > 1) AS t UNION ALL SELECT 'cross_provider', count(*) FROM (SELECT event_ref FROM markets GROUP BY 1 HAVING count(DISTINCT provider_id) > 1) AS t UNION ALL SELECT 'orphan_family', count(*) FROM families f LEFT JOIN canonical_events e ON e.event_id = f.event_id WHERE e.event_id IS NULL",
     "semi_join_union": lambda d: "SELECT market_id, category FROM markets WHERE market_id IN (SELECT market_a FROM proposals WHERE decision = 'accepted' UNION SELECT market_b FROM proposals WHERE decision = 'rejected')",
     "auto_accept_audit": lambda d: "SELECT pr.proposal_id, concat_ws(',', CASE WHEN pr.confidence < 0.75 THEN 'confidence' END, CASE WHEN pr.proposed_type <> 'equivalent' THEN 'type' END, CASE WHEN a.game_day IS NULL OR b.game_day IS NULL THEN 'date' END) AS failed FROM proposals pr JOIN markets a ON a.market_id = pr.market_a JOIN markets b ON b.market_id = pr.market_b WHERE pr.decision = 'accepted'",
     "auto_accept_rules": lambda d: "SELECT pr.proposal_id, CASE WHEN pr.confidence < 0.75 THEN 'low_confidence' WHEN pr.proposed_type <> 'equivalent' THEN 'not_equivalent' WHEN la.market_id IS NOT NULL OR lb.market_id IS NOT NULL THEN 'already_linked' WHEN abs(a.game_day - b.game_day) > 1 THEN 'date' ELSE 'accept' END AS outcome FROM proposals pr JOIN markets a ON a.market_id = pr.market_a JOIN markets b ON b.market_id = pr.market_b LEFT JOIN (SELECT DISTINCT market_id FROM links WHERE status <> 'removed') AS la ON la.market_id = pr.market_a LEFT JOIN (SELECT DISTINCT market_id FROM links WHERE status <> 'removed') AS lb ON lb.market_id = pr.market_b WHERE pr.decision IS NULL",

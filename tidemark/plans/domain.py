@@ -52,7 +52,7 @@ TABLES: dict[str, tuple[Text, tuple[str, ...]]] = {
     ),
     "families": (
         lambda d: f"""SELECT DISTINCT CAST(floor(p_partkey / 3) AS BIGINT) AS family_id, concat('family ', CAST(floor(p_partkey / 3) AS BIGINT)) AS label,
-        CAST(floor(p_partkey / 3) AS BIGINT) % 50 AS event_id FROM {d.table("part")}""",
+        CAST(floor(p_partkey / 3) AS BIGINT) % 53 AS event_id FROM {d.table("part")}""",
         ("part",),
     ),
     "canonical_events": (

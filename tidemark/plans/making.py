@@ -15,7 +15,7 @@ QUERIES: dict[str, Text] = {
     "order_fill_state": lambda d: "SELECT f.order_id, sum(f.size) AS total_size, max(f.observed_us) AS last_us, CAST(floor(sum(f.price_cents * f.size) / nullif(sum(f.size), 0) + 0.5) AS BIGINT) AS vwap_px, CASE WHEN sum(f.size) >= max(o.size) - 0.000000001 THEN 'filled' WHEN sum(f.size) > 0 THEN 'partial' ELSE 'open' END AS state FROM mm_fills f JOIN mm_orders o ON o.order_id = f.order_id GROUP BY f.order_id",
     "spread_capture": lambda d: f"SELECT fill_id, {_CAPTURE} AS capture_cents, {_SIGNED} AS net_delta, CASE WHEN side IN ('yes_buy', 'no_sell') THEN 1 ELSE -1 END AS side_sign, {_FEE} AS fee FROM mm_fills",
     "market_pnl": lambda d: f"WITH f AS (SELECT market_id, sum({_CAPTURE}) AS capture, sum(coalesce(adverse_5m, 0) * size) AS adverse, sum({_FEE}) AS fees, sum({_SIGNED}) AS net, sum(price_cents * size) / nullif(sum(size), 0) AS avg_cost FROM mm_fills GROUP BY market_id), m AS {_LAST_MID} SELECT f.market_id, round(capture, 4) AS spread_capture, round(adverse, 4) AS adverse_selection, round(fees, 4) AS fees, round((m.mid_cents - avg_cost) * net, 4) AS inventory_drift, round(capture + adverse + coalesce((m.mid_cents - avg_cost) * net, 0) - fees, 4) AS net_pnl FROM f LEFT JOIN m ON m.market_id = f.market_id",
-    "portfolio_daily_pnl": lambda d: f"WITH t AS (SELECT market_id, observed_us, {_CAPTURE} AS cents, row_number() OVER (PARTITION BY market_id ORDER BY observed_us DESC, fill_id DESC) AS rn FROM mm_fills) SELECT round(coalesce(sum(cents), 0), 4) AS cents, count(*) AS markets FROM t WHERE rn = 1",
+    "portfolio_daily_pnl": lambda d: f"WITH t AS (SELECT market_id, observed_us, fill_id, sum({_CAPTURE}) OVER (PARTITION BY market_id ORDER BY observed_us, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cents FROM mm_fills), d AS (SELECT CAST(floor(max(observed_us) / {DAY_US}) AS BIGINT) * {DAY_US} AS start_us FROM mm_fills), r AS (SELECT market_id, cents, row_number() OVER (PARTITION BY market_id ORDER BY observed_us DESC, fill_id DESC) AS rn FROM t CROSS JOIN d WHERE observed_us >= start_us) SELECT round(coalesce(sum(cents), 0), 4) AS cents, count(*) AS markets FROM r WHERE rn = 1",
     "flow_toxicity": lambda d: f"SELECT market_id, count(*) AS n, round(sum(adverse_5m) / nullif(CAST(count(adverse_5m) AS DOUBLE), 0), 6) AS mean_adverse, round(coalesce(sum(adverse_5m), 0) / CAST(count(*) AS DOUBLE) * sqrt(count(*)) / 10, 6) AS score FROM mm_fills WHERE observed_us > (SELECT max(observed_us) FROM mm_fills) - 365 * {DAY_US} GROUP BY market_id",
     "consecutive_adverse": lambda d: "WITH t AS (SELECT market_id, adverse_5m, row_number() OVER (PARTITION BY market_id ORDER BY observed_us DESC, fill_id DESC) AS rn FROM mm_fills WHERE adverse_5m IS NOT NULL) SELECT market_id, count(*) = 2 AND bool_and(adverse_5m > 0) AS tripped FROM t WHERE rn <= 2 GROUP BY market_id",
     "reject_ratio": lambda d: "SELECT market_id, count(*) AS n, count(*) FILTER (WHERE status = 'rejected') AS rejected, round(count(*) FILTER (WHERE status = 'rejected') / CAST(count(*) AS DOUBLE), 4) AS ratio FROM mm_orders GROUP BY market_id HAVING count(*) > 20",

@@ -118,6 +118,19 @@ OBSERVED_SPREADS = _QUOTED + "SELECT pair, event_id, observed_us, round(a - b, 4
 OBSERVED_HEALTH = _QUOTED + """SELECT count(*) AS attempted, count(*) FILTER (WHERE parsed AND a IS NOT NULL AND b IS NOT NULL) AS succeeded, count(*) FILTER (WHERE parsed AND a IS NULL) AS errors_1,
 count(*) FILTER (WHERE parsed AND b IS NULL) AS errors_2, count(*) FILTER (WHERE NOT parsed) AS parse_errors, count(a) FILTER (WHERE parsed) + count(b) FILTER (WHERE parsed) AS snapshots,
 round(sum(coalesce(a, 0) + coalesce(b, 0)) FILTER (WHERE parsed), 3) AS prices FROM q"""
+
+
+def settled_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each market was settled last, and how often its settlement was observed: both outputs of one run."""
+    e = _events(spark, sf_dir)
+    seen = e.where("event_type = 'purchase'").select(F.col("user_id").alias("market_id"), (1 + F.col("user_id") % 2).cast("int").alias("provider_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "no").otherwise("yes").alias("outcome"), F.unix_micros("at").alias("resolved_us"))
+    path = shared_path(spark, "settlements")
+    sinks.settlements(seen, path).awaitTermination()
+    counts = sinks.settlement_history(spark, path).groupBy("market_id").agg(F.count(F.lit(1)).alias("observed"))
+    return sinks.settled(spark, path).join(counts, "market_id", "full_outer").select("market_id", "outcome", "resolved_us", "observed")
+
+
+SETTLED_MARKETS = "SELECT user_id AS market_id, arg_max(CASE WHEN event_id % 3 = 0 THEN 'no' ELSE 'yes' END, event_id) AS outcome, arg_max(epoch_us(ts), event_id) AS resolved_us, count(*) AS observed FROM events WHERE event_type = 'purchase' GROUP BY 1"
 #: A day, at which books of the test tables are sampled; hours in which so many failures are a burst.
 DAY_MS, HOURS_MS, SOME = 86_400_000, 72 * 3_600_000, 3
 
@@ -161,5 +174,5 @@ SELECT ticker, at_ms, CASE WHEN 100 - n >= y THEN (y + 100 - n) / 2 END::DOUBLE
 
 QUERIES = {
     "streamed_flow": (streamed_flow, STREAMED_FLOW), "streamed_sessions": (streamed_sessions, STREAMED_SESSIONS), "observed_spreads": (observed_spreads, OBSERVED_SPREADS), "observed_health": (observed_health, OBSERVED_HEALTH),
-    "streamed_samples": (streamed_samples, STREAMED_SAMPLES), "streamed_bursts": (streamed_bursts, None),
+    "settled_markets": (settled_markets, SETTLED_MARKETS), "streamed_samples": (streamed_samples, STREAMED_SAMPLES), "streamed_bursts": (streamed_bursts, None),
 }

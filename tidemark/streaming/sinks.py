@@ -58,3 +58,31 @@ def observer(quotes: DataFrame, path: str, configured: int, watermark: str = "10
         )
 
     return into_tables(once, path, {"spreads": spreads, "snapshots": snapshots, HEARTBEAT: heartbeat}, HEARTBEAT, **trigger)
+
+
+HISTORY, CHANGES = "history", "changes"
+
+
+def settlements(stream: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """Keeps every settlement that is observed, and how each market stands after it, by one run: a batch's history and the
+    last of it for each market are written under its number.
+
+    stream: market_id, provider_id, seq (in which order they were observed), outcome, resolved_us, and more."""
+
+    def changes(batch: DataFrame) -> DataFrame:
+        others = [c for c in batch.columns if c != "market_id"]
+        return batch.groupBy("market_id").agg(F.max_by(F.struct(*others), "seq").alias("r")).select("market_id", "r.*")
+
+    return into_tables(stream, path, {HISTORY: lambda b: b, CHANGES: changes}, CHANGES, **trigger)
+
+
+def settlement_history(spark: SparkSession, path: str) -> DataFrame:
+    return committed(spark, path, HISTORY, CHANGES)
+
+
+def settled(spark: SparkSession, path: str) -> DataFrame:
+    """How each market stands: its newest change, by batch. Changes are few beside the history, and old ones can be merged
+    away by writing this down as a batch."""
+    rows = spark.read.parquet(f"{path}/{CHANGES}")
+    others = [c for c in rows.columns if c not in ("market_id", "batch")]
+    return rows.groupBy("market_id").agg(F.max_by(F.struct(*others), "batch").alias("r")).select("market_id", "r.*")
