@@ -100,3 +100,13 @@ def topic(text: Column) -> Column:
     for pattern, name in reversed(TOPICS):
         out = F.when(text.rlike(f"(?i){pattern}"), name).otherwise(out)
     return out
+
+
+# Fixed value: words of listings that are about a nominee, whatever else they name.
+NOMINEE = r"\b(nominee|primary|presidential|2028)\b"
+
+
+def topic_of(title: Column, ref: Column) -> Column:
+    """The topic of a listing by its title and reference; one that is about a nominee is of that topic before all others."""
+    told = F.regexp_replace(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(ref, F.lit(""))), "#", " ")
+    return F.when(told.rlike(f"(?i){NOMINEE}"), "nominee").otherwise(topic(told))
