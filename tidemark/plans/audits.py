@@ -9,7 +9,7 @@ _LINKED = "(SELECT DISTINCT market_id FROM current_links)"
 _NOW = "(SELECT max(observed_us) AS now_us FROM snapshots)"
 
 QUERIES: dict[str, Text] = {
-    "providers_list": lambda d: "SELECT provider_id, provider FROM providers ORDER BY provider_id",
+    "providers_list": lambda d: "SELECT p.provider_id, p.provider, count(m.market_id) AS markets, max(m.last_seen_us) AS last_seen_us FROM providers p LEFT JOIN markets m ON m.provider_id = p.provider_id GROUP BY p.provider_id, p.provider",
     "coverage_summary": lambda d: "SELECT m.provider_id, count(*) AS total_markets, count(x.market_id) AS linked_markets, count(*) - count(x.market_id) AS unlinked_markets, round(count(x.market_id) / nullif(CAST(count(*) AS DOUBLE), 0), 6) AS coverage_ratio FROM markets m LEFT JOIN (SELECT DISTINCT market_id FROM current_links WHERE status = 'active') AS x ON x.market_id = m.market_id GROUP BY m.provider_id",
     "coverage_by_category": lambda d: "SELECT m.category, count(DISTINCT m.market_id) AS total_markets, count(DISTINCT l.market_id) AS linked FROM markets m LEFT JOIN links l ON l.market_id = m.market_id AND l.status = 'active' GROUP BY m.category",
     "unlinked_markets": lambda d: "SELECT m.market_id, m.market_ref, m.status, m.last_seen_us FROM markets m LEFT JOIN (SELECT DISTINCT market_id FROM current_links WHERE status = 'active') AS x ON x.market_id = m.market_id WHERE x.market_id IS NULL AND m.provider_id = 1 ORDER BY m.last_seen_us DESC NULLS LAST, m.market_id LIMIT 300",
