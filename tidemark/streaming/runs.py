@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_path
+from ..sources.paged import LandedPages
 from . import book, sinks, states
 
 
@@ -172,7 +173,22 @@ s AS (SELECT l.ticker, at_ms, seen, l.epoch, max(ms * 1000000 + seq) AS since FR
 b AS (SELECT s.ticker, at_ms, seen, max(y) AS y, max(n) AS n FROM s JOIN m ON m.ticker = s.ticker AND m.epoch = s.epoch AND ms <= at_ms AND ms * 1000000 + seq >= since GROUP BY 1, 2, 3)
 SELECT ticker, at_ms, CASE WHEN 100 - n >= y THEN (y + 100 - n) / 2 END::DOUBLE AS mid_cents, CASE WHEN 100 - n >= y THEN 100 - n - y END AS spread_cents, at_ms - seen AS age_ms FROM b"""
 
+def paged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page of a collector holds, from a stream over the pages that it has landed."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = shared_path(spark, "pages")
+    pages = rows.select(F.floor(F.col("event_id") / 1000).alias("page"), F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(path)
+    spark.dataSource.register(LandedPages)
+    out = to_end(spark.readStream.format("landed_pages").load(path))
+    read = out.select("page", F.from_json("body", "event_id long, event_type string").alias("r"))
+    return read.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.sum("r.event_id").alias("ids"), F.count_if(F.col("r.event_type") == "click").alias("clicks"))
+
+
+PAGED_EVENTS = "SELECT event_id // 1000 AS page, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, count(*) FILTER (WHERE event_type = 'click') AS clicks FROM events GROUP BY 1"
+
 QUERIES = {
+    "paged_events": (paged_events, PAGED_EVENTS),
     "streamed_flow": (streamed_flow, STREAMED_FLOW), "streamed_sessions": (streamed_sessions, STREAMED_SESSIONS), "observed_spreads": (observed_spreads, OBSERVED_SPREADS), "observed_health": (observed_health, OBSERVED_HEALTH),
     "settled_markets": (settled_markets, SETTLED_MARKETS), "streamed_samples": (streamed_samples, STREAMED_SAMPLES), "streamed_bursts": (streamed_bursts, None),
 }
