@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import listings, quoting, templates
+from ..operators.distinct import once_each
 from ..operators.folds import ordered_fold
 from .domain import domain
 
@@ -44,7 +45,8 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listed(spark, sf_dir).withColumn("t", templates.template(F.col("category"), F.col("title"), F.lit("")))
+    """The listings with their template t, which is found once for each different title of a category."""
+    return once_each(listed(spark, sf_dir), ["category", "title"], lambda named: named.withColumn("t", templates.template(F.col("category"), F.col("title"), F.lit(""))))
 
 
 _TEXT = lambda v: "NULL" if v is None else f"'{v}'"
