@@ -96,3 +96,27 @@ def test_long_forks(spark):
     dropped = book.dropped_blocks(spark, headers.unionByName(fork), "h5000", "n5002")
     assert {r.number for r in dropped.collect()} == set(range(4001, 5001))
     assert book.dropped_blocks(spark, headers, "h5000", "h5000").count() == 0
+
+
+def test_alike_rows_are_compared_once(spark):
+    """800 by 800 rows of few texts: the best of each, though no more than the different texts' pairs are looked at."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def similar(x, y):
+        seen.add(1)
+        return 1.0 if x == y else 0.5
+
+    left = spark.createDataFrame([(i, "k", f"t{i % 4}") for i in range(800)], "left_id long, bucket string, a string")
+    right = spark.createDataFrame([(1000 + i, "k", f"t{i % 5}") for i in range(1, 800)], "right_id long, bucket string, b string")
+    got = candidates.best_in_bucket(left, right, "bucket", F.udf(similar, "double")(F.col("a"), F.col("b")), 0.9).collect()
+    assert sorted((r.left_id, r.right_id) for r in got) == [(i, 1005 if i % 4 == 0 else 1000 + i % 4) for i in range(800)]
+    assert seen.value <= 2 * 4 * 5
+
+
+def test_hot_number_is_dealt_out(spark):
+    """One number in every row: all pairs, whose packs no task holds the most of."""
+    left = spark.createDataFrame([(i, "k", 5.0) for i in range(1500)], "left_id long, k string, a double")
+    right = spark.createDataFrame([(i, "k", 5.0) for i in range(300)], "right_id long, k string, b double")
+    tasks = candidates.within_share(left, right, ["k"], "a", "b", 0.01).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 1500 * 300
+    assert max(r["count"] for r in tasks) < 0.8 * 1500 * 300
