@@ -10,6 +10,7 @@ from tidemark.operators import candidates
 from tidemark.operators.folds import ordered_fold, positions
 from tidemark.operators.matching import best_matching
 from tidemark.plans import requests
+from tidemark.plans.domain import domain
 from tidemark.streaming import book
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +121,11 @@ def test_hot_number_is_dealt_out(spark):
     tasks = candidates.within_share(left, right, ["k"], "a", "b", 0.01).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in tasks) == 1500 * 300
     assert max(r["count"] for r in tasks) < 0.8 * 1500 * 300
+
+
+def test_strikes_of_all_listings_are_compared(spark):
+    """Listings of odd sizes are no others: of every event's two venues all pairs of near strikes."""
+    m = [(r.market_id, r.provider_id, r.event_ref, r.volume) for r in domain(spark, SF, "markets").collect()]
+    want = {(a, b) for a, v, e, x in m for b, w, f, y in m if v == 1 and w == 2 and e == f and abs(x - y) / max(x, y) < 0.01}
+    got = [tuple(r) for r in requests.strike_pairs(spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -62,14 +62,14 @@ def proposals_of_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strike_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings of the two venues on one event whose strikes agree to a hundredth."""
-    m = domain(spark, sf_dir, "markets").where("size % 2 = 0")
+    m = domain(spark, sf_dir, "markets")
     a = m.where("provider_id = 1").select("event_ref", F.col("market_id").alias("left_id"), F.col("volume").alias("a"))
     b = m.where("provider_id = 2").select("event_ref", F.col("market_id").alias("right_id"), F.col("volume").alias("b"))
     return within_share(a, b, ["event_ref"], "a", "b", 0.01).select("left_id", "right_id")
 
 
 STRIKES = """SELECT a.market_id AS left_id, b.market_id AS right_id FROM markets a JOIN markets b ON a.event_ref = b.event_ref AND a.provider_id = 1 AND b.provider_id = 2
-WHERE a.size % 2 = 0 AND b.size % 2 = 0 AND abs(a.volume - b.volume) / greatest(a.volume, b.volume) < 0.01"""
+WHERE abs(a.volume - b.volume) / greatest(a.volume, b.volume) < 0.01"""
 
 
 def dual_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
